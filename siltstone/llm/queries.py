@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+
 from ..session import table
-from . import bitmaps
+from . import bitmaps, bpe, leakage
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary's file: in the folder named by ``SILTSTONE_TOKENIZERS``, else beside the installed ``public_tokenizers``, else in /opt/tokenizers."""
+    folder = os.environ.get("SILTSTONE_TOKENIZERS")
+    if not folder:
+        spec = importlib.util.find_spec("public_tokenizers")
+        folder = os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
+    return os.path.join(folder, name)
 
 
 def queries():
     return {
         "p2_distinct": lambda s, d: bitmaps.cube(table(s, d, "features")),
+        "p8_ids": lambda s, d: bpe.encode_documents(table(s, d, "documents"), vocabulary_path()),
+        "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_spans": lambda s, d: leakage.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
     }
 
 
