@@ -101,7 +101,7 @@ class Encoder:
             tok += [self.of_byte[b] for b in data]
         start = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())})
         self.con.register("start_tokens", start)
-        got = self.con.execute(CONTRACT).to_arrow_table()
+        got = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("start_tokens")
         for i, ids in zip(got.column("w").to_pylist(), got.column("ids").to_pylist()):
             self.known[words[i]] = ids

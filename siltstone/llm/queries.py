@@ -6,7 +6,7 @@ import importlib.util
 import os
 
 from ..session import table
-from . import bitmaps, bpe, leakage
+from . import bitmaps, bpe, leakage, truncation
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +24,8 @@ def queries():
         "p8_ids": lambda s, d: bpe.encode_documents(table(s, d, "documents"), vocabulary_path()),
         "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leakage.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
+        "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
 
 
