@@ -138,7 +138,7 @@ def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = F
         time=F.when(parsed, F.coalesce(at("time"), received)).otherwise(F.coalesce("_stated", received)),
         time_source=F.when(parsed, F.when(at("time").isNotNull(), "log").otherwise("receipt")).when(F.col("_stated").isNotNull(), F.when(F.col("_stated_format").isin("rfc3164", "glog", "logcat"), "log-year-assumed").otherwise("log")).otherwise("receipt"),
         _own=F.when(parsed, own).otherwise(F.array().cast("array<struct<name:string,type_id:int,value:string>>")),
-        _rest=F.when(parsed, F.map_filter(fields, lambda k, v: present(v).isNotNull() & ~F.exists("_values", lambda x: x["w"] == k))),
+        _rest=F.when(parsed, F.map_filter(fields, lambda k, v: present(v).isNotNull() & ~F.exists("_values", lambda x: x["w"].eqNullSafe(k)))),
         _generic=F.when(~parsed, generic_fields(F.col("text"))),
         event_uid=event_uid(received, F.col("locator"), F.sha2("raw", 256)),
     )
@@ -163,7 +163,9 @@ def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = F
     df = _bound(df, _about=F.try_element_at(about, F.col("pack_id")))
     df = _bound(df, **{c: F.get("_about", F.lit(i)) for i, c in enumerate(("vendor", "product", "log_format"))})
 
-    body = {path: F.when(parsed, at(path)) for path in paths if path not in _NUMBERS}
+    leaves = {path: f"_p{i}" for i, path in enumerate(p for p in paths if p not in _NUMBERS)}
+    df = _bound(df, **{c: F.when(parsed, at(path)) for path, c in leaves.items()}) if leaves else df
+    body = {path: F.col(c) for path, c in leaves.items()}
     base = {
         **{c: F.col(c) for c in ("class_uid", "category_uid", "activity_id", "type_uid", "severity_id", "time")},
         "metadata.version": F.lit(VERSION), "metadata.product.name": F.col("product"), "metadata.product.vendor_name": F.col("vendor"),
