@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -82,11 +82,15 @@ def listed(wide: DataFrame) -> DataFrame:
     return wide.select("src_ip", F.inline(F.concat(*[F.col(f"block_{k}") for k in range(N_BLOCKS)])))
 
 
+def _of_type(block: Column, class_uid: int, severity_id: int) -> Column:
+    hit = F.filter(block, lambda t: (t["class_uid"] == class_uid) & (t["severity_id"] == severity_id))
+    return F.get(hit, F.lit(0))
+
+
 def widen(wide: DataFrame, types: list[tuple[int, int]]) -> DataFrame:
     """Flat columns ``n_<class>_<severity>``, ``last_…`` and ``total_…`` of the given types; absent: 0, null, 0."""
     out = [F.col("src_ip")]
     for c, s in types:
-        hit = F.filter(F.col(f"block_{c // 1000 % N_BLOCKS}"), lambda t, c=c, s=s: (t["class_uid"] == c) & (t["severity_id"] == s))
-        first = F.get(hit, 0)
+        first = _of_type(F.col(f"block_{c // 1000 % N_BLOCKS}"), c, s)
         out += [F.coalesce(first["n"], F.lit(0)).alias(f"n_{c}_{s}"), first["last_time_ns"].alias(f"last_{c}_{s}"), F.coalesce(first["severity_total"], F.lit(0)).alias(f"total_{c}_{s}")]
     return wide.select(*out)

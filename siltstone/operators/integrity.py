@@ -65,7 +65,7 @@ def attest(events: DataFrame, authority: str = "authority", heads: dict[str, dic
     ordered = (
         events.where(F.col("chain_uid").isNotNull() & F.try_parse_json("event_json").isNotNull())
         .select("chain_uid", "seq", "event_uid", "event_json")
-        .repartition("chain_uid")
+        .repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chain_uid")
         .sortWithinPartitions("chain_uid", "seq")
     )
     types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())

@@ -93,7 +93,7 @@ def mapping_table(packs: list[Pack]) -> Column:
     table = {}
     for pack in packs:
         rows = []
-        for path, spec in pack.map.items():
+        for path, spec in sorted(pack.map.items(), key=lambda kv: kv[0].count(".")):
             if isinstance(spec, dict):
                 names = spec["from"] if isinstance(spec["from"], list) else [spec["from"]]
                 enum = pack.enums[spec["enum"]] if spec.get("enum") else None

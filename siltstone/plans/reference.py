@@ -178,6 +178,7 @@ def identify_priority(spark, d):
 
 def _flows(spark, d) -> DataFrame:
     f = table(spark, d, "features").select("event_uid", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "time_ns", "pack_id").distinct()
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work per row: not to be coalesced
     line = F.concat(F.lit("Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC="), "src_ip", F.lit(" DST="), "dst_ip", F.lit(" PROTO="), "protocol", F.lit(" SPT="), _s("src_port"), F.lit(" DPT="), _s("dst_port"))
     return f.select(F.when(F.col("src_port") % 7 == 0, F.concat(F.lit("unclaimed "), "src_ip")).otherwise(line).cast("binary").alias("raw"), F.col("time_ns").alias("received_at"), "event_uid")
 
@@ -319,7 +320,7 @@ def queries():
     return dict(QUERIES)
 
 
-_MAPPED = """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 99 END AS BIGINT) AS activity_id, epoch(ts)::BIGINT * 1000000000 AS time, CAST(user_id AS VARCHAR) AS "user",
+_MAPPED = """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 99 END AS BIGINT) AS activity_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000 AS time, CAST(user_id AS VARCHAR) AS "user",
  CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS n, 'over' AS "left", CAST(1 AS INT) AS n_observables FROM events"""
 _FLOW = "(SELECT DISTINCT event_uid, src_ip, dst_ip, src_port, dst_port, protocol, time_ns, pack_id FROM features)"
 _CLAIMED = "src_port % 7 <> 0"
