@@ -23,6 +23,10 @@ NODE_SCHEMA = (
 )
 
 
+#: Documents shredded at once.
+SLICE = 250
+
+
 class _Written(str):
     """A number kept as the text it was written with."""
 
@@ -89,22 +93,24 @@ def shred(df: DataFrame, json_col: str, owner_col: str, member: str, lists: Iter
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split()[0] for f in NODE_SCHEMA.split(",")]
         types = [pa.binary(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.string()]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                try:
-                    value = _get(_load(text), member)
-                except (ValueError, RecursionError):
-                    continue
-                if value is None:
-                    continue
-                key = hashlib.blake2b(f"{owner}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                for found in walk(value, f"/{member}", None, member, member, 0, lists):
-                    for column, x in zip(out, (key, owner, *found)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        for whole in batches:
+            # in slices: a document becomes many rows, and a batch of them would be held several times over
+            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                out: list[list] = [[] for _ in names]
+                for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if not text:
+                        continue
+                    try:
+                        value = _get(_load(text), member)
+                    except (ValueError, RecursionError):
+                        continue
+                    if value is None:
+                        continue
+                    key = hashlib.blake2b(f"{owner}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    for found in walk(value, f"/{member}", None, member, member, 0, lists):
+                        for column, x in zip(out, (key, owner, *found)):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     narrow = df.select(F.col(owner_col).alias("owner"), F.col(json_col).alias("doc"))
     return narrow.mapInArrow(rows, NODE_SCHEMA)
