@@ -170,7 +170,7 @@ def identify_priority(spark, d):
     e = table(spark, d, "events")
     k = F.col("event_id") % 5
     line = (
-        F.when(k == 0, "x CEF:0|Check Point|VPN-1|1|1|n|5|src=1.2.3.4").when(k == 1, "CEF:0|Acme|Box|1|1|n|5|a=b").when(k == 2, "devname=a srcip=1.2.3.4 dstip=1.2.3.5 SRC= DST= PROTO=")
+        F.when(k == 0, "x CEF:0|Check Point|VPN-1|1|1|n|5|src=1.2.3.4").when(k == 1, "CEF:0|Acme|Box|1|1|n|5|a=b").when(k == 2, "devname=a type=traffic srcip=1.2.3.4 dstip=1.2.3.5 SRC= DST= PROTO=")
         .when(k == 3, "<30>Jun 14 15:16:01 combo cron[19939]: job done").otherwise(F.concat(F.lit("nothing "), _s("event_id")))
     )
     return e.select("event_id", C.identify(line, packs()).alias("pack_id"))
