@@ -344,6 +344,13 @@ def oracle_sql():
         "mapping_columns": _MAPPED,
         "identify_priority": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'checkpoint-firewall' WHEN 1 THEN 'generic-cef-network' WHEN 2 THEN 'fortinet-fortigate-traffic' WHEN 3 THEN 'linux-syslog-host' END AS pack_id FROM events",
         "flows": f"SELECT 'linux-iptables-firewall' AS pack_id, CAST(6 AS BIGINT) AS activity_id, nullif(protocol, '') AS protocol, count(*) AS n, count(DISTINCT nullif(src_ip, '')) AS n_src FROM {_FLOW} WHERE {_CLAIMED} GROUP BY 3",
+        "stats": f"""SELECT count(*) AS received, count(*) FILTER (c) AS parsed, count(*) FILTER (NOT c) AS unidentified, CAST(0 AS BIGINT) AS extract_failed, CAST(0 AS BIGINT) AS normalize_failed,
+ CAST(sum(CASE WHEN c THEN length('Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC= DST= PROTO= SPT= DPT=') + length(src_ip) + length(dst_ip) + length(protocol) + length(src_port::VARCHAR) + length(dst_port::VARCHAR) ELSE length('unclaimed ') + length(src_ip) END) AS BIGINT) AS bytes_in,
+ round(count(*) FILTER (c) / count(*), 6) AS coverage FROM (SELECT *, {_CLAIMED} AS c FROM {_FLOW})""",
+        "feature_rows": f"""SELECT CAST(p.src_is_private AS BIGINT) AS src_is_private, CAST(p.dst_is_private AS BIGINT) AS dst_is_private, CASE WHEN t > 0 THEN (t // 3600000000000) % 24 ELSE -1 END AS hour_of_day,
+ CASE WHEN t > 0 THEN (t // 86400000000000 + 3) % 7 ELSE -1 END AS day_of_week, count(*) AS n, CAST(sum(src_port) AS BIGINT) AS ports, CAST(0 AS BIGINT) AS alerts
+ FROM (SELECT *, CASE WHEN abs(time_ns) < 100000000000 THEN time_ns * 1000000000 WHEN abs(time_ns) < 100000000000000 THEN time_ns * 1000000 WHEN abs(time_ns) < 100000000000000000 THEN time_ns * 1000 ELSE time_ns END AS t FROM {_FLOW}) JOIN (SELECT DISTINCT event_uid, src_is_private, dst_is_private FROM features) p USING (event_uid) WHERE {_CLAIMED} GROUP BY 1, 2, 3, 4""",
+        "chain_tampered": "SELECT event_id % 50 <> 0 AS own_ok, true AS link_ok, count(*) AS n FROM events GROUP BY 1",
         "by_pack": f"SELECT 'linux-iptables-firewall' AS pack_id, count(*) AS n FROM {_FLOW} WHERE {_CLAIMED}",
         "dead_letters": f"SELECT 'unidentified' AS disposition, 'utf-8' AS raw_encoding, count(*) AS n, CAST(sum(length('unclaimed ' || src_ip)) AS BIGINT) AS chars FROM {_FLOW} WHERE NOT ({_CLAIMED})",
         "coercions": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || user_id || ' ' WHEN 1 THEN '7.5' WHEN 3 THEN 'Yes' END AS present, CASE WHEN event_id % 4 = 0 THEN user_id END AS as_int, CASE WHEN event_id % 4 = 3 THEN true WHEN event_id % 4 = 0 AND user_id IN (0, 1) THEN user_id = 1 END AS as_bool FROM events",
