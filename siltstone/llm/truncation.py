@@ -4,9 +4,11 @@ Per source, histograms of text lengths in characters and bytes give the limits:
 the maximum at which far more texts end than at the lengths around them. A text at such a
 length is suspected, unless it ends as complete texts end. Cuts in transfer have any length;
 they too show in an ending that no complete text has. What complete endings are is learned
-from the corpus: a line that another line follows has ended by itself, so the endings of all
-lines, by kind of line, are counted over all documents, and prose ends with terminal
-punctuation.
+from the corpus: a line that another line follows has ended by itself, so the endings of such
+lines, by kind of line, are counted over all distinct texts, and prose ends with terminal
+punctuation. Some complete endings (a signature, a closing phrase) only stand last. The last
+line of a text counts too, therefore, but not for that text, nor for its exact copies, nor if
+the text or a copy of it is at a limit.
 
 Decision, in this order: a blank text is complete; an ending damaged within a character,
 escape or entity is cut; a mark of omission is cut at a limit, unless the same closing phrase
@@ -17,6 +19,7 @@ ending is common for its kind or closes its brackets; anything else is cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ SPIKE_FACTOR, REACH = 5.0, 40
 ABOVE_SHARE = 0.02
 #: A byte limit leaves up to this many bytes unused, where a character did not fit.
 SLACK = 3
-#: An ending is common if it has this count and this share of the line endings of its kind.
+#: An ending is common if it has this count, the text under judgement included, and this share of the line endings of its kind.
 COMMON_COUNT, COMMON_SHARE = 3, 2e-4
 
 _MARK = r"\s*(?:\[truncated\]|\[cut\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|<cut>|<truncated>|<snip>|…|\.\.\.)$"
@@ -104,46 +107,54 @@ class Endings:
         return ("prose" if kind == "prose" else "structure"), kind, self.key(line, kind)
 
 
+def text_id(text: str | None) -> bytes:
+    """The same for exact copies of a text, and for them only."""
+    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def endings(documents: DataFrame) -> DataFrame:
-    """``(doc_id, source, n_text_chars, n_text_bytes, ending, kind, key)`` of every document."""
-    arrow = [("doc_id", pa.int64()), ("source", pa.string()), ("n_text_chars", pa.int64()), ("n_text_bytes", pa.int64()), ("ending", pa.string()), ("kind", pa.string()), ("key", pa.string())]
+    """``(doc_id, source, n_text_chars, n_text_bytes, ending, kind, key, text_id)`` of every document."""
+    arrow = [("doc_id", pa.int64()), ("source", pa.string()), ("n_text_chars", pa.int64()), ("n_text_bytes", pa.int64()), ("ending", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("text_id", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = Endings()
         for batch in batches:
             ids, sources, texts = (batch.column(i).to_pylist() for i in range(3))
             found = [ends.classify(t) for t in texts]
-            columns = (ids, sources, [len(t or "") for t in texts], [len((t or "").encode("utf-8", "replace")) for t in texts], *zip(*found)) if texts else ([],) * 7
+            columns = (ids, sources, [len(t or "") for t in texts], [len((t or "").encode("utf-8", "replace")) for t in texts], *zip(*found), [text_id(t) for t in texts]) if texts else ([],) * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, arrow)], names=[n for n, _ in arrow])
 
-    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_text_chars bigint, n_text_bytes bigint, ending string, kind string, key string")
+    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_text_chars bigint, n_text_bytes bigint, ending string, kind string, key string, text_id binary")
 
 
 def line_endings(documents: DataFrame) -> DataFrame:
-    """``(kind, key, n)``: how often lines of a kind end so, over all lines that another line follows, and last lines."""
+    """``(kind, key, n)``: how often lines of a kind that another line follows end so, every distinct text counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = Endings()
-        counted: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            rows = list(counted.items())
-            counted.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["kind", "key", "n"])
-
         for batch in batches:
+            out: list[list] = [[], [], [], []]
             for text in batch.column(0).to_pylist():
-                for line in (text or "").splitlines():
-                    line = line.rstrip()
-                    if line:
-                        kind = ends.kind(line)
-                        if kind != "prose":
-                            counted[kind, ends.key(line, kind)] += 1
-            if len(counted) > 100_000:
-                yield flush()
-        yield flush()
+                counted: Counter = Counter()
+                for line in [x for x in map(str.rstrip, (text or "").splitlines()) if x][:-1]:
+                    kind = ends.kind(line)
+                    if kind != "prose":
+                        counted[kind, ends.key(line, kind)] += 1
+                own = text_id(text)
+                for (kind, key), n in counted.items():
+                    for column, x in zip(out, (own, kind, key, n)):
+                        column.append(x)
+            types = (pa.binary(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["text_id", "kind", "key", "n"])
 
-    return documents.select("text").mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    of_text = documents.select("text").mapInArrow(run, "text_id binary, kind string, key string, n bigint").groupBy("text_id", "kind", "key").agg(F.max("n").alias("n"))
+    return of_text.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def last_endings(placed: DataFrame) -> DataFrame:
+    """``(kind, key, n)``: how many distinct texts end so, without those of which a copy is at a limit."""
+    texts = placed.where(F.col("ending").isin("structure", "mark")).groupBy("text_id", "kind", "key").agg(F.max("at_limit").alias("at_limit"))
+    return texts.where(~F.col("at_limit")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def limits(ended: DataFrame) -> DataFrame:
@@ -179,16 +190,12 @@ def judged(documents: DataFrame) -> DataFrame:
         "byte_limits", lambda x: (F.col("n_text_bytes") > x - SLACK) & (F.col("n_text_bytes") <= x)
     )
     placed = with_limits.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("char_limits", "byte_limits")
-    marks = placed.where((F.col("ending") == "mark") & ~F.col("at_limit")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    counted = line_endings(documents).unionByName(marks)
+    counted = line_endings(documents).unionByName(last_endings(placed)).groupBy("kind", "key").agg(F.sum("n").alias("n"))
     of_kind = counted.groupBy("kind").agg(F.sum("n").alias("of_kind"))
-    common = (
-        counted.join(F.broadcast(of_kind), "kind")  # one row per kind of line: nine
-        .where((F.col("n") >= COMMON_COUNT) & (F.col("n") >= COMMON_SHARE * F.col("of_kind")))
-        .select("kind", "key", F.lit(True).alias("common"))
-    )
-    known = placed.join(common, ["kind", "key"], "left")
-    is_common = F.coalesce("common", F.lit(False))
+    known = placed.join(counted.join(F.broadcast(of_kind), "kind"), ["kind", "key"], "left")  # of_kind: one row per kind of line: ten
+    # a text's own last line is among those counted unless it is at a limit; with it, as the bound includes it
+    with_own = F.col("n") + F.col("at_limit").cast("int")
+    is_common = F.coalesce((with_own >= COMMON_COUNT) & (with_own >= COMMON_SHARE * F.col("of_kind")), F.lit(False))
     is_cut = (
         F.when(F.col("ending") == "damage", True)
         .when(F.col("ending") == "mark", F.col("at_limit") & ~is_common)

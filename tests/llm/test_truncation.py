@@ -46,3 +46,14 @@ def test_limits_and_cut_texts(spark):
     rate = {r.source: r for r in truncation.rates(df).collect()}
     assert rate["open"].n_cut == 0 and rate["limited"].n_cut == len(cut) == rate["limited"].n_cut_at_limit
     assert truncation.found(df.limit(0)).count() == 0
+
+
+LINED = "rotate the {} table\n- drain the {} clock\nThe clock of group {} was drained before the table of group {} was rotated."
+
+
+def test_copies_do_not_vouch_for_a_cut_text(spark):
+    docs = [(i, "- " + LINED.format(i, i, i, i), "open") for i in range(40)]
+    docs += [(100 + k, "Some of it is left.\n- drain the clo", "open" if k % 2 else "other") for k in range(9)]
+    docs += [(200 + i, f"Report {i} is complete.\n-- B team", "open") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r.doc_id for r in truncation.found(df).collect()} == set(range(100, 109))
