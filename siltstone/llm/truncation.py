@@ -4,8 +4,9 @@ Per source, histograms of text lengths in characters and bytes give the limits:
 the maximum at which far more texts end than at the lengths around them. A text at such a
 length is suspected, unless it ends as complete texts end. Cuts in transfer have any length;
 they too show in an ending that no complete text has. What complete endings are is learned
-from the corpus: a line that another line follows has ended by itself, so the endings of such
-lines, by kind of line, are counted over all distinct texts, and prose ends with terminal
+from the corpus, by a ratio that does not move with its size: how many of the lines that reach
+an ending stop there, and how many go on past it. A line that another line follows has ended by
+itself; all are counted by kind of line over distinct texts. Prose ends with terminal
 punctuation. Some complete endings (a signature, a closing phrase) only stand last. The last
 line of a text counts too, therefore, but not for that text, nor for its exact copies, nor if
 the text or a copy of it is at a limit.
@@ -13,8 +14,8 @@ the text or a copy of it is at a limit.
 Decision, in this order: a blank text is complete; an ending damaged within a character,
 escape or entity is cut; a mark of omission is cut at a limit, unless the same closing phrase
 is common elsewhere, and complete away from limits; terminal punctuation is complete; a line
-of structure (list item, quoted log line, command, link, signature ...) is complete if its
-ending is common for its kind or closes its brackets; anything else is cut.
+of structure (list item, quoted log line, command, link, signature ...) is complete if enough
+lines stop at its ending or it closes its brackets; anything else is cut.
 """
 
 from __future__ import annotations
@@ -36,8 +37,14 @@ SPIKE_FACTOR, REACH = 5.0, 40
 ABOVE_SHARE = 0.02
 #: A byte limit leaves up to this many bytes unused, where a character did not fit.
 SLACK = 3
-#: An ending is common if it has this count, the text under judgement included, and this share of the line endings of its kind.
-COMMON_COUNT, COMMON_SHARE = 3, 2e-4
+#: An ending is complete if, of the lines that reach it, this share stops there before another line,
+STOP_SHARE = 0.01
+#: or this share and this many stop there before another line or as last lines of other texts, which might be cut.
+LAST_SHARE, LAST_COUNT = 0.03, 2
+#: A mark of omission is a closing phrase if so many texts away from limits have it, and this share of all.
+PHRASE_COUNT, PHRASE_SHARE = 3, 0.5
+#: Endings of this size in bytes, about, are looked for at once.
+KEYS_SIZE = 16_000_000
 
 _MARK = r"\s*(?:\[truncated\]|\[cut\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|<cut>|<truncated>|<snip>|…|\.\.\.)$"
 _DAMAGE = r"(?:\N{REPLACEMENT CHARACTER}|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\x[0-9a-fA-F]?|\\|%(?:[0-9A-F]|[C-F][0-9A-F])?|&#?[a-zA-Z0-9]{0,8})$"
@@ -74,11 +81,14 @@ class Endings:
         return "short" if len(line.split(None, 4)) <= 4 else "prose"
 
     def key(self, line: str, kind: str) -> str:
-        """The last two words, lower case, digits masked; links have their words masked too."""
+        """The last two words, of a short line all, in lower case with digits masked; links have their words masked too."""
+        return " ".join(self.words(line, kind)[0 if kind == "short" else -2 :])
+
+    def words(self, line: str, kind: str) -> list[str]:
         low = line.lower()
         if kind == "link":
             low = self.letters("a", low)
-        return self.digits("9", " ".join(low.split()[-2:]))[-80:]
+        return self.digits("9", low).split()
 
     def closed(self, line: str) -> bool:
         """Whether a structured line ends in a closer and all its brackets and double quotes are closed."""
@@ -127,34 +137,86 @@ def endings(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_text_chars bigint, n_text_bytes bigint, ending string, kind string, key string, text_id binary")
 
 
-def line_endings(documents: DataFrame) -> DataFrame:
-    """``(kind, key, n)``: how often lines of a kind that another line follows end so, every distinct text counted once."""
+class Passed:
+    """Finds where lines go on past given endings."""
+
+    HEAD = 8
+
+    def __init__(self, keys: list[tuple[str, str]]) -> None:
+        self.keys = set(keys)
+        self.starts: dict = {}  # short lines: by how they begin
+        self.pairs: dict = {}  # other kinds: by all but the last word
+        for kind, key in keys:
+            if kind == "short":
+                self.starts.setdefault(key[: self.HEAD], []).append(key)
+            else:
+                before, _, last = key.rpartition(" ")
+                self.pairs.setdefault((kind, before), []).append((last, key))
+
+    def past(self, words: list[str], kind: str) -> Iterator[tuple[str, str]]:
+        """The endings that a line goes on past: a short one from its beginning, others anywhere (single words only as the first)."""
+        if kind in ("short", "prose"):
+            line = " ".join([*words[:4], *(w[:1] for w in words[4:5])])
+            for n in range(1, self.HEAD + 1):
+                for key in self.starts.get(line[:n], ()) if n <= len(line) else ():
+                    if len(line) > len(key) and line.startswith(key):
+                        yield "short", key
+            return
+        for i, word in enumerate(words):
+            for last, key in self.pairs.get((kind, words[i - 1] if i else ""), ()):
+                if word.startswith(last) and (len(word) > len(last) or i < len(words) - 1):
+                    yield kind, key
+
+
+def line_endings(documents: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """``(kind, key, n_stop, n_past)`` of ``keys``: how often a line that another line follows ends so, and how often a line goes on past it, every distinct text counted once."""
+    shared = documents.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Endings()
+        ends, passed = Endings(), Passed(shared.value)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in batch.column(0).to_pylist():
-                counted: Counter = Counter()
-                for line in [x for x in map(str.rstrip, (text or "").splitlines()) if x][:-1]:
+                stops: Counter = Counter()
+                past: Counter = Counter()
+                lines = [x for x in map(str.rstrip, (text or "").splitlines()) if x]
+                for i, line in enumerate(lines):
                     kind = ends.kind(line)
-                    if kind != "prose":
-                        counted[kind, ends.key(line, kind)] += 1
+                    words = ends.words(line, kind)
+                    past.update(passed.past(words, kind))
+                    if kind != "prose" and i < len(lines) - 1:
+                        found = kind, " ".join(words[0 if kind == "short" else -2 :])
+                        if found in passed.keys:
+                            stops[found] += 1
                 own = text_id(text)
-                for (kind, key), n in counted.items():
-                    for column, x in zip(out, (own, kind, key, n)):
+                for found in {**stops, **past}:
+                    for column, x in zip(out, (own, *found, stops[found], past[found])):
                         column.append(x)
-            types = (pa.binary(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["text_id", "kind", "key", "n"])
+            types = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["text_id", "kind", "key", "n_stop", "n_past"])
+
+    of_text = documents.select("text").mapInArrow(run, "text_id binary, kind string, key string, n_stop bigint, n_past bigint")
+    of_text = of_text.groupBy("text_id", "kind", "key").agg(F.max("n_stop").alias("n_stop"), F.max("n_past").alias("n_past"))
+    return of_text.groupBy("kind", "key").agg(F.sum("n_stop").alias("n_stop"), F.sum("n_past").alias("n_past"))
+
 
-    of_text = documents.select("text").mapInArrow(run, "text_id binary, kind string, key string, n bigint").groupBy("text_id", "kind", "key").agg(F.max("n").alias("n"))
-    return of_text.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def stops(documents: DataFrame, ended: DataFrame) -> DataFrame:
+    """``line_endings`` of all endings that are in question in ``ended``, in as many passes as they need."""
+    asked = ended.where(F.col("ending") == "structure").select("kind", "key").distinct()
+    size = asked.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
+    parts = size // KEYS_SIZE + 1
+    found = None
+    for part in range(parts):
+        keys = [(r.kind, r.key) for r in asked.where(F.pmod(F.xxhash64("kind", "key"), F.lit(parts)) == part).collect()]
+        counted = line_endings(documents, keys)
+        found = counted if found is None else found.unionByName(counted)
+    return found
 
 
 def last_endings(placed: DataFrame) -> DataFrame:
-    """``(kind, key, n)``: how many distinct texts end so, without those of which a copy is at a limit."""
+    """``(kind, key, n_last, n_limit)``: how many distinct texts end so away from limits, and how many of which a copy is at one."""
     texts = placed.where(F.col("ending").isin("structure", "mark")).groupBy("text_id", "kind", "key").agg(F.max("at_limit").alias("at_limit"))
-    return texts.where(~F.col("at_limit")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy("kind", "key").agg(F.count_if(~F.col("at_limit")).alias("n_last"), F.count_if("at_limit").alias("n_limit"))
 
 
 def limits(ended: DataFrame) -> DataFrame:
@@ -190,16 +252,16 @@ def judged(documents: DataFrame) -> DataFrame:
         "byte_limits", lambda x: (F.col("n_text_bytes") > x - SLACK) & (F.col("n_text_bytes") <= x)
     )
     placed = with_limits.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("char_limits", "byte_limits")
-    counted = line_endings(documents).unionByName(last_endings(placed)).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    of_kind = counted.groupBy("kind").agg(F.sum("n").alias("of_kind"))
-    known = placed.join(counted.join(F.broadcast(of_kind), "kind"), ["kind", "key"], "left")  # of_kind: one row per kind of line: ten
-    # a text's own last line is among those counted unless it is at a limit; with it, as the bound includes it
-    with_own = F.col("n") + F.col("at_limit").cast("int")
-    is_common = F.coalesce((with_own >= COMMON_COUNT) & (with_own >= COMMON_SHARE * F.col("of_kind")), F.lit(False))
+    known = placed.join(last_endings(placed), ["kind", "key"], "left").join(stops(documents, ended), ["kind", "key"], "left")
+    stop, past, last = (F.coalesce(n, F.lit(0)) for n in ("n_stop", "n_past", "n_last"))
+    # a text's own last line is among n_last unless it is at a limit
+    others = stop + F.greatest(last - (~F.col("at_limit")).cast("int"), F.lit(0))
+    stops_there = (stop >= 1) & (stop >= STOP_SHARE * (stop + past)) | (others >= LAST_COUNT) & (others >= LAST_SHARE * (others + past))
+    is_phrase = (last >= PHRASE_COUNT) & (last >= PHRASE_SHARE * (last + F.coalesce("n_limit", F.lit(0))))
     is_cut = (
         F.when(F.col("ending") == "damage", True)
-        .when(F.col("ending") == "mark", F.col("at_limit") & ~is_common)
-        .when(F.col("ending") == "structure", ~is_common)
+        .when(F.col("ending") == "mark", F.col("at_limit") & ~is_phrase)
+        .when(F.col("ending") == "structure", ~stops_there)
         .otherwise(F.col("ending") == "prose")
     )
     return known.select("doc_id", "source", "n_text_chars", "n_text_bytes", "ending", "at_limit", is_cut.alias("is_cut"))

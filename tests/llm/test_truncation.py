@@ -57,3 +57,23 @@ def test_copies_do_not_vouch_for_a_cut_text(spark):
     docs += [(200 + i, f"Report {i} is complete.\n-- B team", "open") for i in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert {r.doc_id for r in truncation.found(df).collect()} == set(range(100, 109))
+
+
+def test_verdict_does_not_move_with_size(spark):
+    """A fragment that recurs in proportion to the texts stays cut, an ending at which lines stop stays complete."""
+    for times in (1, 10):
+        docs = []
+        for i in range(400 * times):
+            name = "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10]
+            docs.append(f"Entry {i} was read.\n> 2026-01-{i % 28 + 1:02d} {name} started\n> 2026-02-03 {name} stopped\nIt was entry {i} again.")
+        docs += [f"Entry {i} of all.\n> {cut}" for i in range(times) for cut in ("2", "20", "202")]
+        docs += [f"Entry {i} of all.\n> 2026-03-04 aa stopped" for i in range(3 * times)]
+        df = spark.createDataFrame([(i, t, "open") for i, t in enumerate(docs)], "doc_id long, text string, source string")
+        assert sorted(r.doc_id for r in truncation.found(df).collect()) == list(range(400 * times, 403 * times))
+
+
+def test_endings_in_passes(spark, monkeypatch):
+    docs, cut = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    monkeypatch.setattr(truncation, "KEYS_SIZE", 500)
+    assert {r.doc_id for r in truncation.found(df).collect()} == cut
