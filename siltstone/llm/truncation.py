@@ -12,8 +12,9 @@ line of a text counts too, therefore, but not for that text, nor for its exact c
 the text or a copy of it is at a limit.
 
 Decision, in this order: a blank text is complete; an ending damaged within a character,
-escape or entity is cut; a mark of omission is cut at a limit, unless the same closing phrase
-is common elsewhere, and complete away from limits; terminal punctuation is complete; a line
+escape or entity is cut; so is one that names the cut, as [truncated] does; dots of omission are
+cut at a limit, unless the same closing phrase is common elsewhere, and away from limits unless
+a sentence or a closing phrase (known, or recurring among such texts) ends before them; terminal punctuation is complete; a line
 of structure (list item, quoted log line, command, link, signature ...) is complete if enough
 lines stop at its ending or it closes its brackets; anything else is cut.
 """
@@ -43,10 +44,14 @@ STOP_SHARE = 0.01
 LAST_SHARE, LAST_COUNT = 0.03, 2
 #: A mark of omission is a closing phrase if so many texts away from limits have it, and this share of all.
 PHRASE_COUNT, PHRASE_SHARE = 3, 0.5
+#: Away from limits it is one if another text has it, and others make up this share of those away from limits.
+PHRASE_LEAST = 0.01
 #: Endings of this size in bytes, about, are looked for at once.
 KEYS_SIZE = 16_000_000
 
 _MARK = r"\s*(?:\[truncated\]|\[cut\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|<cut>|<truncated>|<snip>|…|\.\.\.)$"
+_DOTS = ("…", "...")
+_PHRASE = r"\b(?:to be continued|and so (?:on|forth)|et cetera|etc|more to come|more on (?:that|this)(?: (?:next (?:week|time)|later|soon|tomorrow))?|we(?: wi|')ll see|usw|und so weiter|et ainsi de suite|y así sucesivamente|itd|i tak dalej)$"
 _DAMAGE = r"(?:\N{REPLACEMENT CHARACTER}|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\x[0-9a-fA-F]?|\\|%(?:[0-9A-F]|[C-F][0-9A-F])?|&#?[a-zA-Z0-9]{0,8})$"
 _TERMINAL = r"[.!?。！？｡؟।‼⁇⁈⁉][\p{Pe}\p{Pf}\"'`*_]*(?:\s*\(more below\))?$"
 _KINDS = [
@@ -69,7 +74,7 @@ class Endings:
         import regex
 
         self.regex = regex
-        self.mark, self.damage, self.terminal, self.head = (regex.compile(p).search for p in (_MARK, _DAMAGE, _TERMINAL, _STACK_HEAD))
+        self.mark, self.damage, self.terminal, self.head, self.phrase = (regex.compile(p).search for p in (_MARK, _DAMAGE, _TERMINAL, _STACK_HEAD, _PHRASE))
         self.kinds = [(k, regex.compile(p).match) for k, p in _KINDS]
         self.digits = regex.compile(r"\d+").sub
         self.letters = regex.compile(r"[a-z]+").sub
@@ -97,7 +102,7 @@ class Endings:
         return line.count("(") == line.count(")") and line.count("{") == line.count("}") and line.count("[") == line.count("]") and (line.count('"') - line.count('\\"')) % 2 == 0
 
     def classify(self, text: str | None) -> tuple[str, str, str]:
-        """``(class, kind, key)`` of a text's ending."""
+        """``(class, kind, key)`` of a text's ending. Kinds of a mark: ``mark`` names the cut, ``closed`` are dots after a sentence or known phrase, ``dots`` are others."""
         bare = (text or "").rstrip()
         if not bare:
             return "blank", "", ""
@@ -105,8 +110,11 @@ class Endings:
         kind = self.kind(line)
         if self.damage(bare[-16:]):
             return "damage", kind, ""
-        if self.mark(bare[-24:]):
-            return "mark", "mark", self.key(line, "mark")
+        if mark := self.mark(bare[-24:]):
+            if mark.group().strip() not in _DOTS:
+                return "mark", "mark", self.key(line, "mark")
+            before = bare[: len(bare) - len(mark.group())][-60:].lower()
+            return "mark", "closed" if self.terminal(before) or self.phrase(before) else "dots", self.key(line, "mark")
         low = bare[-60:].lower()
         if self.terminal(low):
             return "terminal", kind, ""
@@ -252,15 +260,21 @@ def judged(documents: DataFrame) -> DataFrame:
         "byte_limits", lambda x: (F.col("n_text_bytes") > x - SLACK) & (F.col("n_text_bytes") <= x)
     )
     placed = with_limits.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("char_limits", "byte_limits")
-    known = placed.join(last_endings(placed), ["kind", "key"], "left").join(stops(documents, ended), ["kind", "key"], "left")
+    lasts = last_endings(placed)
+    dots = lasts.where(F.col("kind") == "dots").agg(F.coalesce(F.sum("n_last"), F.lit(0)).alias("n_dots"))  # one row
+    known = placed.join(lasts, ["kind", "key"], "left").crossJoin(F.broadcast(dots)).join(stops(documents, ended), ["kind", "key"], "left")
     stop, past, last = (F.coalesce(n, F.lit(0)) for n in ("n_stop", "n_past", "n_last"))
     # a text's own last line is among n_last unless it is at a limit
-    others = stop + F.greatest(last - (~F.col("at_limit")).cast("int"), F.lit(0))
+    others_last = F.greatest(last - (~F.col("at_limit")).cast("int"), F.lit(0))
+    others = stop + others_last
     stops_there = (stop >= 1) & (stop >= STOP_SHARE * (stop + past)) | (others >= LAST_COUNT) & (others >= LAST_SHARE * (others + past))
     is_phrase = (last >= PHRASE_COUNT) & (last >= PHRASE_SHARE * (last + F.coalesce("n_limit", F.lit(0))))
+    recurs = (others_last >= 1) & (others_last >= PHRASE_LEAST * F.col("n_dots"))
     is_cut = (
         F.when(F.col("ending") == "damage", True)
-        .when(F.col("ending") == "mark", F.col("at_limit") & ~is_phrase)
+        .when((F.col("ending") == "mark") & (F.col("kind") == "mark"), True)
+        .when((F.col("ending") == "mark") & F.col("at_limit"), ~is_phrase)
+        .when(F.col("ending") == "mark", (F.col("kind") == "dots") & ~recurs)
         .when(F.col("ending") == "structure", ~stops_there)
         .otherwise(F.col("ending") == "prose")
     )

@@ -77,3 +77,10 @@ def test_endings_in_passes(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     monkeypatch.setattr(truncation, "KEYS_SIZE", 500)
     assert {r.doc_id for r in truncation.found(df).collect()} == cut
+
+
+def test_marks_away_from_limits(spark):
+    texts = ["It is 541 records wait...", "Nothing in the pack expl…", "It went on to the sto [truncated]", "It went on.<cut>", "The count of bl [...]"]
+    whole = ["All of it is here. To be continued...", "He waited. ...", "One is sent. More on that next week…", "Two are sent. More on that next week…"]
+    df = spark.createDataFrame([(i, t, "open") for i, t in enumerate(texts + whole)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in truncation.found(df).collect()) == list(range(len(texts)))
