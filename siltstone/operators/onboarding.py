@@ -27,11 +27,15 @@ def tokenize(text: Column) -> Column:
 class Templates:
     """Clusters of one token count; templates generalise as lines arrive."""
 
-    def __init__(self, cap: int = MAX_CLUSTERS) -> None:
+    def __init__(self, cap: int | None = None) -> None:
         self.cap, self.clusters, self.overflow = cap, [], 0
+        self.rest: Templates | None = None
 
     def add(self, tokens: list[str], seq: int, count: int, line: str) -> int | None:
-        """Index of the line's cluster, None when the cap is reached."""
+        """Index of the line's cluster, None when the cap is reached.
+
+        Without a cap, lines beyond MAX_CLUSTERS go on to templates of their own, as in a further pass over them.
+        """
         best, best_score = None, -1.0
         for i, c in enumerate(self.clusters):
             same = [a == WILD or a == b for a, b in zip(c["template"], tokens)]
@@ -43,7 +47,10 @@ class Templates:
                 continue
             best, best_score = i, score
         if best is None:
-            if len(self.clusters) >= self.cap:
+            if len(self.clusters) >= (MAX_CLUSTERS if self.cap is None else self.cap):
+                if self.cap is None:
+                    self.rest = self.rest or Templates()
+                    return len(self.clusters) + self.rest.add(tokens, seq, count, line)
                 self.overflow += count
                 return None
             self.clusters.append({"template": list(tokens), "count": count, "first": seq, "samples": [line]})
@@ -55,17 +62,22 @@ class Templates:
             c["samples"].append(line)
         return best
 
+    def all(self) -> list[dict]:
+        return self.clusters + (self.rest.all() if self.rest else [])
+
 
 CLUSTERS = "n_tokens int, first_seq bigint, template array<string>, n bigint, samples array<string>"
 
 
-def cluster(lines: DataFrame, text: str = "text", seq: str = "seq", cap: int = MAX_CLUSTERS) -> DataFrame:
+def cluster(lines: DataFrame, text: str = "text", seq: str = "seq", cap: int | None = None) -> DataFrame:
     """``(cluster_id, n_tokens, first_seq, template, n, samples, specificity)``, by volume, ties by id.
 
     Equal token sequences are counted before they meet; what remains is streamed in order of
-    first arrival through the templates of its token count, at most ``cap`` of them, whatever
-    the number of lines. Lines beyond the cap are counted in a row without template. Blank and
-    null lines have no cluster. Ids follow the order of creation.
+    first arrival through the templates of its token count. Lines that fit none of the first
+    MAX_CLUSTERS meet templates of their own, and so on until every line has one. With ``cap``
+    there are at most so many, whatever the number of lines, and lines beyond them are counted
+    in a row without template. Blank and null lines have no cluster. Ids follow the order of
+    creation.
     """
     tokens = tokenize(F.col(text))
     distinct = (
@@ -82,7 +94,7 @@ def cluster(lines: DataFrame, text: str = "text", seq: str = "seq", cap: int = M
         size, templates = None, Templates(cap)
 
         def rows(n_tokens, t):
-            out = [{"n_tokens": n_tokens, "first_seq": c["first"], "template": c["template"], "n": c["count"], "samples": c["samples"]} for c in t.clusters]
+            out = [{"n_tokens": n_tokens, "first_seq": c["first"], "template": c["template"], "n": c["count"], "samples": c["samples"]} for c in t.all()]
             return out + ([{"n_tokens": n_tokens, "first_seq": None, "template": None, "n": t.overflow, "samples": []}] if t.overflow else [])
 
         schema = pa.schema([("n_tokens", pa.int32()), ("first_seq", pa.int64()), ("template", pa.list_(pa.string())), ("n", pa.int64()), ("samples", pa.list_(pa.string()))])
@@ -99,7 +111,7 @@ def cluster(lines: DataFrame, text: str = "text", seq: str = "seq", cap: int = M
     from pyspark.sql import Window as W
 
     found = distinct.mapInArrow(run, CLUSTERS)
-    # at most cap clusters per token count: a small table
+    # one row per cluster: a small table
     nth = F.row_number().over(W.orderBy("first_seq", "n_tokens"))
     named = found.where(F.col("template").isNotNull()).withColumn("cluster_id", F.format_string("C%04d", nth))
     rest = found.where(F.col("template").isNull()).withColumn("cluster_id", F.lit("overflow"))

@@ -90,6 +90,17 @@ def test_clusters_and_drafts(spark):
     assert onboarding.profile(samples)["wire_format"] == "syslog-keyvalue" and onboarding.diverse_indices(["aa b", "a", "c d e"], 2) == [1, 0]
 
 
+def test_every_line_has_a_cluster(spark, monkeypatch):
+    lines = [(i, f"w{i} x{i}") for i in range(9)] + [(9, "w8 x8"), (10, "w1 x1")]
+    monkeypatch.setattr(onboarding, "MAX_CLUSTERS", 3)
+    templates = onboarding.Templates()
+    assert [templates.add(text.split(), seq, 1, text) for seq, text in lines] == [*range(9), 8, 1]
+    monkeypatch.setattr(onboarding, "MAX_CLUSTERS", 1000)
+    many = spark.createDataFrame([(i, f"w{i} x{i}") for i in range(1100)], "seq long, text string")
+    got = onboarding.cluster(many).collect()
+    assert len(got) == 1100 and all(r.template and r.samples and r.n == 1 for r in got)
+
+
 def test_vault_round_trip(spark, tmp_path):
     key = b"0123456789abcdef"
     raw = spark.createDataFrame([(bytearray(f"record {i}\n".encode() * (i % 5)), i) for i in range(50)], "raw binary, seq long")
