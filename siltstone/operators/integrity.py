@@ -176,6 +176,20 @@ def leaves(df: DataFrame, index: str, record: str) -> DataFrame:
     return df.select(F.col(index).alias("idx"), F.sha2(F.concat(F.unhex(F.lit("00")), F.col(record).cast("binary")), 256).alias("h"))
 
 
+def numbered(df: DataFrame, order: str, block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``idx``: the rows from 0 without gaps in the order of the whole number ``order``, which is unique.
+
+    Rows are counted within blocks of ``order``, which are raised by the rows of the blocks before.
+    """
+    from pyspark.sql import Window as W
+
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_block", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_block").orderBy(order))
+    return blocked.withColumn("idx", nth.cast("bigint") - 1).join(before, "_block").withColumn("idx", F.col("idx") + F.col("_before")).drop("_block", "_before")
+
+
 def next_level(level: DataFrame) -> DataFrame:
     """The level above ``(idx, h)``: neighbours hashed together, an odd last one promoted."""
     pair = level.groupBy(F.call_function("div", F.col("idx"), F.lit(2)).alias("up")).agg(

@@ -277,9 +277,9 @@ def chain_tampered(spark, d):
 
 
 def merkle(spark, d):
-    o = table(spark, d, "nation")
-    level = integrity.leaves(o, "n_nationkey", "n_name")
-    root = integrity.merkle_root(level, subtree=8)
+    o = table(spark, d, "raw_events").select("raw_id", F.coalesce("raw", F.lit(b"")).alias("raw"))
+    level = integrity.leaves(integrity.numbered(o, "raw_id"), "idx", "raw")
+    root = integrity.merkle_root(level)
     return spark.createDataFrame([(root, level.count())], "root string, n bigint")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -69,3 +70,15 @@ def test_distributed_root_proof_and_bundle(spark):
         I.resume(point, level, "c", "other")
     with pytest.raises(NotImplementedError):
         I.fingerprint("x", "BLAKE3")
+
+
+def test_root_of_all_raw_events_and_of_nations(spark, tmp_path):
+    from siltstone.plans import reference
+
+    ids = [i * 30_000 + 7 for i in range(9_000)]
+    spark.createDataFrame([(i, f"event {i}".encode()) for i in reversed(ids)], "raw_id long, raw binary").write.parquet(f"{tmp_path}/raw_events.parquet")
+    got = reference.merkle(spark, str(tmp_path)).first()
+    assert got.n == 9_000 and got.root == I.fold([hashlib.sha256(b"\0" + f"event {i}".encode()).hexdigest() for i in ids])
+    names = [f"nation {i}" for i in range(25)]
+    level = I.leaves(spark.createDataFrame(list(enumerate(names)), "idx long, name string"), "idx", "name")
+    assert I.merkle_root(level, subtree=8) == I.fold([hashlib.sha256(b"\0" + n.encode()).hexdigest() for n in names])
