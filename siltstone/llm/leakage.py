@@ -2,7 +2,8 @@
 
 The normalised n-grams of the test items form a hash set that is broadcast behind a check of
 its size; documents are scanned window by window, and a hit is verified on the words
-themselves. A larger set of items is met by a shuffle join on the n-grams instead.
+themselves. A larger set of items is met by a shuffle join on the n-grams instead, also
+for the spans.
 """
 
 from __future__ import annotations
@@ -74,11 +75,38 @@ def _grams(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, "key bigint, gram string")
 
 
+def _windows(documents: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, at, gram)``: every window with the number of its first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = ngrams(words_of(text), n)
+                if grams:
+                    columns = ([key] * len(grams), list(range(len(grams))), grams)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "at", "gram"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, at int, gram string")
+
+
+def _joined_spans(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``leaked_spans`` by a shuffle join on the n-grams; doc_id is unique."""
+    from pyspark.sql import Window as W
+
+    of_items = _grams(items.select(F.col("item_id").alias("key"), "text"), n).select(F.col("key").alias("item_id"), "gram").distinct()
+    hits = _windows(documents, n).join(of_items, "gram").select("doc_id", "item_id", "at")
+    pair = W.partitionBy("doc_id", "item_id").orderBy("at")
+    # a window that starts at or before the end of the one before it continues its run
+    starts = F.coalesce(F.col("at") > F.lag("at").over(pair) + n, F.lit(True))
+    runs = hits.withColumn("starts", starts).withColumn("run", F.count_if("starts").over(pair))
+    return runs.groupBy("doc_id", "item_id", "run").agg(F.min("at").alias("from_word"), (F.max("at") + n).cast("int").alias("to_word")).drop("run")
+
+
 def leaked_spans(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
     """``(doc_id, item_id, from_word, to_word)``: every maximal run of shared windows. Null and short texts have none."""
     index = _index(items, n)
     if index is None:
-        raise ValueError("too many n-grams to broadcast; use leaks(), which then joins by shuffle")
+        return _joined_spans(documents, items, n)
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

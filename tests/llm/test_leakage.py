@@ -37,3 +37,16 @@ def test_spans_and_scrubbing(spark):
     assert [tuple(r) for r in leakage.leaked_spans(docs, items).collect()] == [(1, 7, 2, 17)]
     assert {r.doc_id for r in leakage.scrub(docs, items).collect()} == {2, 3}
     assert leakage.leaks(docs, items.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), items).count() == 0
+
+
+def test_spans_by_join_are_those_by_broadcast(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(30))
+    words = item.split()
+    near = " ".join(words[:12] + words[2:14] + ["x"] + words[18:30] + words[:10])
+    docs = spark.createDataFrame([(1, f"a {item} c {item}", 0), (2, near, 0), (3, None, 0), (4, " ".join(words[5:16]), 0)], DOCS)
+    items = spark.createDataFrame([(7, item, 0), (8, " ".join(words[3:20]), 0), (9, "", 0)], ITEMS)
+    want = sorted(tuple(r) for r in leakage.leaked_spans(docs, items).collect())
+    monkeypatch.setattr(leakage, "MAX_NGRAMS", 3)
+    got = leakage.leaked_spans(docs, items)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 5
+    assert got.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("from_word", "int"), ("to_word", "int")]
