@@ -2,18 +2,21 @@
 
 Every source (a receiver) punctuates its stream with its receipt clock: at clock ``t`` its low
 watermark is ``t - lateness``. A period closes when every source has passed its end; a source
-without a receipt for ``idle_s`` is timed out and holds nothing up. Receipts of a closed period
-are diverted. The clocks are reduced to one row per source and period end before anything is
-shuffled, so neither a hot source nor a hot period meets in one task.
-
-``refused`` wants the cut-off exactly six hours after the end of the hour. The watermarks
-therefore run with a lateness smaller by the idle time-out, so that every period is closed by
-then at the latest, and an exact check on the diverted receipts follows.
+without a receipt for ``idle_s`` is timed out and holds nothing up. The close publishes the
+period's first result. Receipts that come later are diverted: up to the cut-off they correct
+the published result, step by step, beyond it they are refused. The clocks are reduced to one
+row per source and period end before anything is shuffled, so neither a hot source nor a hot
+period meets in one task.
+
+The watermarks decide what is published at the close, what is diverted and when corrections
+appear. The cut-off itself is an exact check on the diverted receipts: six hours after the end
+of the hour, whatever the clocks of the sources say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .timestamps import receipt_ns
@@ -21,7 +24,10 @@ from .timestamps import receipt_ns
 NS = 1_000_000_000
 HOUR_S = 3600
 CUTOFF_S = 6 * HOUR_S
-IDLE_S = 900
+#: How far behind its receipt clock a source's watermark stays, and when a silent source is timed out.
+LATENESS_S, IDLE_S = 1800, 900
+#: Corrections of a published period appear at multiples of this after its close.
+STEP_S = 900
 
 
 def whole_seconds(ns: Column) -> Column:
@@ -43,10 +49,11 @@ def close_instants(receipts: DataFrame, lateness_s: int, idle_s: int = IDLE_S, p
     the latest by the time-out. A period without a row closes at its end plus lateness, all
     sources being idle. Null clocks are ignored.
     """
-    seconds = whole_seconds(F.col("at_ns")) - lateness_s
-    since = F.pmod(seconds, F.lit(period_s))
-    after = F.when(since <= idle_s, seconds - since)
-    before = F.when((since == 0) | (period_s - since < idle_s), F.when(since == 0, seconds).otherwise(seconds - since + period_s))
+    shifted, period = F.col("at_ns") - lateness_s * NS, period_s * NS
+    since = F.pmod(shifted, F.lit(period))
+    start = whole_seconds(shifted - since)
+    after = F.when(since <= idle_s * NS, start)
+    before = F.when(since == 0, start).when(period - since < idle_s * NS, start + period_s)
     ticks = (
         receipts.where(F.col("at_ns").isNotNull())
         .select("source", "at_ns", F.explode(F.array(F.struct(after.alias("end"), F.lit(True).alias("passed")), F.struct(before.alias("end"), F.lit(False).alias("passed")))).alias("t"))
@@ -82,34 +89,75 @@ def arrivals(envelopes: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def judged(envelopes: DataFrame, features: DataFrame, cutoff_s: int = CUTOFF_S, idle_s: int = IDLE_S) -> DataFrame:
-    """``arrivals`` with ``hour_start`` and ``outcome``: on_time, corrected or refused.
+def judged(envelopes: DataFrame, features: DataFrame, lateness_s: int = LATENESS_S, cutoff_s: int = CUTOFF_S, idle_s: int = IDLE_S) -> DataFrame:
+    """``arrivals`` with ``hour_start``, ``close_ns`` and ``outcome``: in_time, corrected or refused.
 
-    An event that arrived by the end of its hour is on time; one that arrived later corrects
-    the hour; one that arrived when the hour was closed is refused. Events of unknown time
-    (null or -1) or without a known receipt have no row.
+    An event that arrived before its hour was closed is in time. One that arrived later is
+    diverted: it corrects the hour up to the cut-off and is refused beyond. A lateness and idle
+    time-out beyond the cut-off are an error, for the close would come after it. Events of
+    unknown time (null or -1) or without a known receipt have no row.
     """
+    if lateness_s + idle_s > cutoff_s:
+        raise ValueError("periods must be closed by the cut-off")
     receipts = envelopes.select(F.coalesce("receiver_id", F.lit("")).alias("source"), receipt_ns(F.col("received_at")).alias("at_ns"))
-    lateness = cutoff_s - idle_s
-    closing = close_instants(receipts, lateness, idle_s)
+    closing = close_instants(receipts, lateness_s, idle_s)
     known = arrivals(envelopes, features).where(F.col("first_ns").isNotNull() & F.col("time_ns").isNotNull() & (F.col("time_ns") != -1))
     known = known.withColumn("hour_start", period_start(F.col("time_ns"))).withColumn("period_end", F.col("hour_start") + HOUR_S)
-    joined = known.join(closing, "period_end", "left")
-    close = F.coalesce("close_ns", (F.col("period_end") + lateness) * NS)
-    diverted = F.col("first_ns") > close
-    exact = F.col("first_ns") > (F.col("period_end") + cutoff_s) * NS
-    outcome = F.when(diverted & exact, "refused").when(F.col("first_ns") > F.col("period_end") * NS, "corrected").otherwise("on_time")
-    return joined.select("event_uid", "time_ns", "pack_id", "first_ns", "hour_start", outcome.alias("outcome"))
+    # rows of closing: one per hour in which some source was active, whatever the number of events
+    joined = known.join(closing, "period_end", "left").withColumn("close_ns", F.coalesce("close_ns", (F.col("period_end") + lateness_s) * NS))
+    beyond = F.col("first_ns") > (F.col("period_end") + cutoff_s) * NS
+    outcome = F.when(F.col("first_ns") <= F.col("close_ns"), "in_time").when(~beyond, "corrected").otherwise("refused")
+    return joined.select("event_uid", "time_ns", "pack_id", "first_ns", "hour_start", "close_ns", outcome.alias("outcome"))
+
+
+def diverted(envelopes: DataFrame, features: DataFrame, lateness_s: int = LATENESS_S) -> DataFrame:
+    """``(event_uid, pack_id, hour_start, close_ns, first_ns, outcome)``: events that first arrived after their hour was closed."""
+    return judged(envelopes, features, lateness_s).where(F.col("outcome") != "in_time").select("event_uid", "pack_id", "hour_start", "close_ns", "first_ns", "outcome")
 
 
 def refused(envelopes: DataFrame, features: DataFrame) -> DataFrame:
-    """``(event_uid, hour_start)`` of the events whose hour was closed when they first arrived."""
-    return judged(envelopes, features).where(F.col("outcome") == "refused").select("event_uid", "hour_start")
+    """``(event_uid, hour_start)`` of the diverted events that first arrived after the cut-off of their hour."""
+    return diverted(envelopes, features).where(F.col("outcome") == "refused").select("event_uid", "hour_start")
+
+
+def _count(*outcomes: str) -> Column:
+    return F.count_if(F.col("outcome").isin(*outcomes))
 
 
 def hourly(envelopes: DataFrame, features: DataFrame) -> DataFrame:
-    """Events per hour and pack: as first published, as corrected by late receipts, and refused."""
-    count = lambda *which: F.sum(F.when(F.col("outcome").isin(*which), 1).otherwise(0)).alias
-    return judged(envelopes, features).groupBy("hour_start", "pack_id").agg(
-        count("on_time")("n_first"), count("on_time", "corrected")("n_corrected"), count("refused")("n_refused")
+    """Events per hour and pack: as published at the close, as corrected up to the cut-off, diverted and refused."""
+    return (
+        judged(envelopes, features)
+        .groupBy("hour_start", "pack_id")
+        .agg(
+            F.max("close_ns").alias("close_ns"),
+            _count("in_time").alias("n_at_close"),
+            _count("in_time", "corrected").alias("n_final"),
+            _count("corrected", "refused").alias("n_diverted"),
+            _count("refused").alias("n_refused"),
+        )
+    )
+
+
+def corrections(envelopes: DataFrame, features: DataFrame, step_s: int = STEP_S) -> DataFrame:
+    """The published results ``(hour_start, pack_id, published_ns, version, n_events)`` in order.
+
+    Version 0 is the result at the close; each later version is the result after the diverted
+    events of one step, a row only where the number changed. An hour and pack has at most
+    ``1 + cutoff / step`` versions, so the running sum sorts a bounded group.
+    """
+    steps = F.ceil((F.col("first_ns") - F.col("close_ns")) / F.lit(step_s * NS))
+    counted = (
+        judged(envelopes, features)
+        .where(F.col("outcome") != "refused")
+        .groupBy("hour_start", "pack_id", "close_ns", F.when(F.col("outcome") == "in_time", F.lit(0).cast("bigint")).otherwise(steps).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    order = W.partitionBy("hour_start", "pack_id").orderBy("step")
+    return counted.select(
+        "hour_start",
+        "pack_id",
+        (F.col("close_ns") + F.col("step") * step_s * NS).alias("published_ns"),
+        (F.row_number().over(order) - 1).alias("version"),
+        F.sum("n").over(order).alias("n_events"),
     )

@@ -43,6 +43,8 @@ def queries():
         "p5_entries": lambda s, d: loglines.parse_entries(loglines.all_entries(table(s, d, "raw_events"), table(s, d, "dead_letters"))).withColumn("unparsed", F.size("unparsed")),
         "p6_found": lambda s, d: watermark.refused(table(s, d, "envelopes"), table(s, d, "features")),
         "p6_hourly": lambda s, d: watermark.hourly(table(s, d, "envelopes"), table(s, d, "features")),
+        "p6_diverted": lambda s, d: watermark.diverted(table(s, d, "envelopes"), table(s, d, "features")),
+        "p6_corrections": lambda s, d: watermark.corrections(table(s, d, "envelopes"), table(s, d, "features")),
         "p7_features": lambda s, d: featureblocks.entity_features(table(s, d, "features")),
         "p7_listed": lambda s, d: featureblocks.listed(featureblocks.entity_features(table(s, d, "features"))),
     }
@@ -62,6 +64,17 @@ r AS (SELECT event_uid, min({_RECEIPT}) AS f FROM envelopes WHERE event_uid IS N
 e AS (SELECT event_uid, max(time_ns) AS time_ns, max(pack_id) AS pack_id FROM features GROUP BY 1),
 x AS (SELECT event_uid, pack_id, f, (time_ns - (time_ns % 3600000000000 + 3600000000000) % 3600000000000) // 1000000000 AS hour_start FROM e JOIN r USING (event_uid) WHERE time_ns <> -1)
 """
+# Closing instants from their definition, per source and hour by as-of joins: a source counts where its last clock before
+# end + lateness is younger than the time-out, and holds the hour up to its next clock, at most for the time-out.
+_CLOSED = f"""WITH {_JUDGED},
+c AS (SELECT DISTINCT coalesce(receiver_id, '') AS source, {_RECEIPT} AS t FROM envelopes WHERE received_at IS NOT NULL),
+h AS (SELECT source, hour_start, (hour_start + 5400) * 1000000000 AS due FROM (SELECT DISTINCT hour_start FROM x), (SELECT DISTINCT source FROM c)),
+b AS (SELECT h.source, h.hour_start, h.due, c.t AS last_t FROM h ASOF JOIN c ON h.source = c.source AND h.due >= c.t),
+a AS (SELECT b.*, c.t AS next_t FROM b ASOF LEFT JOIN c ON b.source = c.source AND b.due <= c.t),
+k AS (SELECT hour_start, max(least(coalesce(next_t, due + 900000000000), due + 900000000000)) AS close_ns FROM a WHERE last_t > due - 900000000000 GROUP BY 1),
+j AS (SELECT x.*, coalesce(close_ns, (hour_start + 5400) * 1000000000) AS close_ns FROM x LEFT JOIN k USING (hour_start)),
+o AS (SELECT *, CASE WHEN f <= close_ns THEN 'in_time' WHEN f <= (hour_start + 25200) * 1000000000 THEN 'corrected' ELSE 'refused' END AS outcome FROM j)
+"""
 
 
 def oracle_sql():
@@ -77,8 +90,12 @@ SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, kind, CAST(child_no AS
         "p1_fingerprints": f"WITH {_ATT} SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, CAST(0 AS INT) AS child_no, a->>'$.fingerprint.algorithm_id' AS algorithm_id, a->>'$.fingerprint.algorithm' AS algorithm, a->>'$.fingerprint.encoding_id' AS encoding_id, a->>'$.fingerprint.serialization_id' AS serialization_id, a->>'$.fingerprint.value' AS value FROM att WHERE json_type(a, '$.fingerprint') = 'OBJECT'",
         "p1_signatures": f"WITH {_ATT} SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, CAST(child_no AS INT) AS child_no, g->>'$.algorithm_id' AS algorithm_id, g->>'$.algorithm' AS algorithm, g->>'$.created_time' AS created_time, g->>'$.developer_uid' AS developer_uid, g->>'$.digest.value' AS digest_value FROM sig",
         "p6_found": f"WITH {_JUDGED} SELECT event_uid, hour_start FROM x WHERE f > (hour_start + 25200) * 1000000000",
-        "p6_hourly": f"""WITH {_JUDGED} SELECT hour_start, pack_id, count(*) FILTER (f <= (hour_start + 3600) * 1000000000) AS n_first,
- count(*) FILTER (f <= (hour_start + 25200) * 1000000000) AS n_corrected, count(*) FILTER (f > (hour_start + 25200) * 1000000000) AS n_refused FROM x GROUP BY 1, 2""",
+        "p6_hourly": f"""{_CLOSED} SELECT hour_start, pack_id, max(close_ns) AS close_ns, count(*) FILTER (outcome = 'in_time') AS n_at_close, count(*) FILTER (outcome <> 'refused') AS n_final,
+ count(*) FILTER (outcome <> 'in_time') AS n_diverted, count(*) FILTER (outcome = 'refused') AS n_refused FROM o GROUP BY 1, 2""",
+        "p6_diverted": f"{_CLOSED} SELECT event_uid, pack_id, hour_start, close_ns, f AS first_ns, outcome FROM o WHERE outcome <> 'in_time'",
+        "p6_corrections": f"""{_CLOSED} SELECT hour_start, pack_id, close_ns + step * 900000000000 AS published_ns, CAST(row_number() OVER w - 1 AS INT) AS version, CAST(sum(n) OVER w AS BIGINT) AS n_events
+ FROM (SELECT hour_start, pack_id, close_ns, CASE WHEN outcome = 'in_time' THEN 0 ELSE (f - close_ns + 899999999999) // 900000000000 END AS step, count(*) AS n FROM o WHERE outcome <> 'refused' GROUP BY ALL)
+ WINDOW w AS (PARTITION BY hour_start, pack_id ORDER BY step)""",
         "p7_listed": """SELECT src_ip, class_uid, severity_id, count(*) AS n, max(time_ns) AS last_time_ns, CAST(sum(severity_id) AS BIGINT) AS severity_total
  FROM (SELECT DISTINCT event_uid, src_ip, class_uid, severity_id, time_ns FROM features WHERE src_ip <> '') GROUP BY 1, 2, 3""",
     }

@@ -33,22 +33,52 @@ def build_session(app: str = "siltstone", cpus: str | int = "*", **conf: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of the session.
 
-    The cluster names a folder that all executors share in ``spark.checkpoint.dir``;
-    it is read from the session. Only where it is unset (tests) a local one is made.
+    The cluster names a folder that all executors share in ``spark.checkpoint.dir``; it is read
+    from the session. Where it is unset a local session gets one of its own; on a cluster, where
+    a folder of this machine would be seen by this machine only, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
     context.setCheckpointDir(named)
     return named
 
 
+#: Intermediate folders of this process that are not deleted yet, and tables over them.
+_MADE: dict[str, str | None] = {}
+
+
+def scratch(spark: SparkSession, kind: str, table_name: str | None = None) -> str:
+    """A new path in the shared folder, deleted by ``release`` or when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _MADE[path] = table_name
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate folders and tables made so far; data frames that read them must be done with."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        path, name = _MADE.popitem()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        n += 1
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage is cut, columns stay prunable."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -33,6 +33,25 @@ def test_a_period_waits_for_every_live_source_and_not_for_idle_ones(spark):
     assert only[3600] == at(3600 + 3600 + 900)
 
 
+def test_sources_decide_what_is_published_at_the_close(spark):
+    """Without the clock of a source its hour closes earlier, and its late event is diverted."""
+    at = lambda s: (1_000_000_800 + s) * 10**9
+    feat = spark.createDataFrame([("e", at(100), "p"), ("f", at(200), "p"), ("g", at(300), "p")], FEAT)
+    due = 3600 + watermark.LATENESS_S
+    rows = [("e", at(400), None, "a", None), (None, at(due - 5), None, "a", None), (None, at(due + 1), None, "a", None), (None, at(due - 9), None, "slow", None), ("f", at(due + 300), None, "b", None), (None, at(due + 600), None, "slow", None), ("g", at(3600 + 6 * 3600 + 1), None, "a", None)]
+    env = spark.createDataFrame(rows, ENV)
+    got = {r.event_uid: (r.outcome, r.close_ns) for r in watermark.judged(env, feat).collect()}
+    assert got == {"e": ("in_time", at(due + 600)), "f": ("in_time", at(due + 600)), "g": ("refused", at(due + 600))}
+    without = env.where("receiver_id <> 'slow'")
+    got = {r.event_uid: (r.outcome, r.close_ns) for r in watermark.judged(without, feat).collect()}
+    assert got == {"e": ("in_time", at(due + 1)), "f": ("corrected", at(due + 1)), "g": ("refused", at(due + 1))}
+    assert [r.event_uid for r in watermark.diverted(without, feat).orderBy("event_uid").collect()] == ["f", "g"]
+    published = [(r.version, r.n_events, r.published_ns) for r in watermark.corrections(without, feat).orderBy("version").collect()]
+    assert published == [(0, 1, at(due + 1)), (1, 2, at(due + 1 + watermark.STEP_S))]
+    hour = watermark.hourly(without, feat).first()
+    assert (hour.n_at_close, hour.n_final, hour.n_diverted, hour.n_refused) == (1, 2, 2, 1)
+
+
 FEATURES = "event_uid string, src_ip string, class_uid long, severity_id long, time_ns long, block int, n int"
 
 
