@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib.util
 import os
 
+from pyspark.sql import functions as F
+
 from ..session import table
 from . import bitmaps, bpe, leakage, truncation
 
@@ -18,9 +20,17 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name)
 
 
+def _halves(features):
+    """All rows as two runs would have seen them."""
+    half = F.pmod(F.xxhash64("event_uid"), F.lit(2))
+    return [features.where(half == k) for k in range(2)]
+
+
 def queries():
     return {
         "p2_distinct": lambda s, d: bitmaps.cube(table(s, d, "features")),
+        "p2_runs": lambda s, d: bitmaps.cube_of_runs(_halves(table(s, d, "features"))),
+        "p2_returning": lambda s, d: bitmaps.returning(table(s, d, "features")),
         "p8_ids": lambda s, d: bpe.encode_documents(table(s, d, "documents"), vocabulary_path()),
         "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leakage.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
@@ -32,11 +42,18 @@ def queries():
 _LEVEL = "CASE WHEN g = 7 THEN 'all' ELSE concat_ws('+', CASE WHEN g & 4 = 0 THEN 'day' END, CASE WHEN g & 2 = 0 THEN 'pack_id' END, CASE WHEN g & 1 = 0 THEN 'class_uid' END) END"
 
 
-def oracle_sql():
-    return {
-        "p2_distinct": f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_ip, n_ip, CAST(0 AS BIGINT) AS error_bound FROM (
+_CUBE = f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_ip, n_ip, CAST(0 AS BIGINT) AS error_bound FROM (
  SELECT grouping(day, pack_id, class_uid) AS g, day, pack_id, class_uid, count(DISTINCT a) FILTER (s = 1) AS n_src_ip, count(DISTINCT a) FILTER (s = 2) AS n_dst_ip, count(DISTINCT a) AS n_ip
  FROM (SELECT CAST(floor(epoch_seconds / 86400) AS INT) AS day, pack_id, class_uid, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''
   UNION ALL SELECT CAST(floor(epoch_seconds / 86400) AS INT), pack_id, class_uid, dst_ip, 2 FROM features WHERE dst_ip <> '')
- GROUP BY CUBE (day, pack_id, class_uid))""",
+ GROUP BY CUBE (day, pack_id, class_uid))"""
+
+
+def oracle_sql():
+    return {
+        "p2_distinct": _CUBE,
+        "p2_runs": _CUBE,
+        "p2_returning": """WITH o AS (SELECT DISTINCT CAST(floor(epoch_seconds / 86400) AS INT) AS day, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''
+  UNION SELECT CAST(floor(epoch_seconds / 86400) AS INT), dst_ip, 2 FROM features WHERE dst_ip <> '')
+ SELECT n.day, count(*) FILTER (n.s = 1) AS n_src_ip, count(*) FILTER (n.s = 2) AS n_dst_ip FROM o n JOIN o p ON p.day = n.day - 1 AND p.a = n.a AND p.s = n.s GROUP BY 1""",
     }
