@@ -10,6 +10,7 @@ Everything is JVM-side expressions: no Python, no shuffle beyond the caller's.
 
 from __future__ import annotations
 
+import re
 import zoneinfo
 
 from pyspark.sql import Column, DataFrame
@@ -30,25 +31,60 @@ ABBREVIATIONS = {
 }
 
 # Each pattern is anchored; the replacement gives year|month|day|hour|minute|second|fraction|zone|half.
+# Whatever may precede a stamp is taken possessively and in one way only, so that a line of any
+# length and any number of pairs is read once.
 _ISO = rf"(\d{{4}})[-/](\d\d)[-/](\d\d)[T ]{_HMS}{_FRAC} ?{_ZONE}"
-_KEYS = r'"(?:time|@timestamp|timestamp|ts|eventTime|event_time)"'
-CASCADE: list[tuple[str, str, list[str]]] = [
-    ("rfc5424", rf"\A<\d{{1,3}}>\d{{1,2}} {_ISO}(?= )", "$1|$2|$3|$4|$5|$6|$7|$8|".split("|")),
-    ("rfc3164", rf"\A(?:<\d{{1,3}}>)?{MONTHS} +(\d{{1,2}})(?: (\d{{4}}))? {_HMS}{_FRAC}(?=[ :])", "$3|$1|$2|$4|$5|$6|$7||".split("|")),
-    ("jul", rf"\A{MONTHS} +(\d{{1,2}}), (\d{{4}}),? {_HMS}{_FRAC} ([AP]M)(?=\s)", "$3|$1|$2|$4|$5|$6|$7||$8".split("|")),
-    ("apache", rf"\A\[{DAYS} {MONTHS} +(\d{{1,2}}) {_HMS}{_FRAC} (\d{{4}})\]", "$7|$1|$2|$3|$4|$5|$6||".split("|")),
-    ("ctime", rf"\A{DAYS} {MONTHS} +(\d{{1,2}}) {_HMS}{_FRAC}(?: ([A-Z]{{1,5}}|[+-]\d\d:?\d\d))? (\d{{4}})(?=\s)", "$8|$1|$2|$3|$4|$5|$6|$7|".split("|")),
-    ("clf", rf"\A\S+ \S+ \S+ \[(\d\d)/{MONTHS}/(\d{{4}}):{_HMS}(?: {_ZONE})?\]", "$3|$2|$1|$4|$5|$6||$7|".split("|")),
-    ("glog", rf"\A[DIWEFC](\d\d)(\d\d) +{_HMS}{_FRAC}(?=\s)", "|$1|$2|$3|$4|$5|$6||".split("|")),
-    ("logcat", rf"\A(\d\d)-(\d\d) {_HMS}{_FRAC}(?=\s)", "|$1|$2|$3|$4|$5|$6||".split("|")),
-    ("iso", rf"\A\[?{_ISO}(?=[\s,\]]|\z)", "$1|$2|$3|$4|$5|$6|$7|$8|".split("|")),
-    ("short", rf"\A(\d\d)/(\d\d)/(\d\d) {_HMS}{_FRAC}(?=\s)", "$1|$2|$3|$4|$5|$6|$7||YY".split("|")),
-    ("dotted", rf"\A(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}) {_HMS}{_FRAC}(?=[\s|])", "$3|$2|$1|$4|$5|$6|$7||".split("|")),
-    ("epoch", r"\A(\d{9,19})(?:\.(\d{1,9}))?(?=\s)", "$1||||||$2|EPOCH|".split("|")),
-    ("logfmt", rf'\A(?:\w+=(?:"[^"]*"|\S*) +)*?(?:time|ts|timestamp)="?{_ISO}"?(?=\s|\z)', "$1|$2|$3|$4|$5|$6|$7|$8|".split("|")),
-    ("logfmt_epoch", r'\A(?:\w+=(?:"[^"]*"|\S*) +)*?(?:time|ts|timestamp)="?(\d{9,19})(?:\.(\d{1,9}))?"?(?=\s|\z)', "$1||||||$2|EPOCH|".split("|")),
-    ("json", rf'\A\s*\{{(?:\s*"(?:[^"\\]|\\.)*"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[-+\w.]+)\s*,)*?\s*{_KEYS}\s*:\s*"{_ISO}"', "$1|$2|$3|$4|$5|$6|$7|$8|".split("|")),
-    ("json_epoch", rf'\A\s*\{{(?:\s*"(?:[^"\\]|\\.)*"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[-+\w.]+)\s*,)*?\s*{_KEYS}\s*:\s*"?(\d{{9,19}})(?:\.(\d{{1,9}}))?"?(?=[\s,}}])', "$1||||||$2|EPOCH|".split("|")),
+_BASIC = rf"(\d{{4}})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)?{_FRAC}{_ZONE}"
+_EPOCH = r"(\d{9,19})(?:\.(\d{1,9}))?"
+_KEY = "(?:time|ts|timestamp|datetime)"
+_MEMBER_KEY = '"(?:time|@timestamp|timestamp|ts|eventTime|event_time|datetime)"'
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_DATE_FIELDS = "$1|$2|$3|$4|$5|$6|$7|$8|"
+_EPOCH_FIELDS = "$1||||||$2|EPOCH|"
+
+
+def _nested(depth: int) -> str:
+    """A JSON object or array with objects and arrays in it to the given depth."""
+    inner = f"|{_nested(depth - 1)}" if depth else ""
+    return rf'[\[{{](?:[^\[\]{{}}"]++|{_STRING}{inner})*+[\]}}]'
+
+
+def _after_pairs(stamp: str, end: str) -> str:
+    """``key=value`` pairs up to the first time key with such a stamp, and the stamp."""
+    at = rf'{_KEY}="?'
+    ahead = re.sub(r"\((?!\?)", "(?:", stamp)
+    return rf'\A(?:(?!{at}{ahead}{end})[\w.@/-]++=(?:{_STRING}|[^"\s]\S*+|) ++)*+{at}{stamp}{end}'
+
+
+def _after_members(stamp: str, end: str) -> str:
+    """Members of a JSON object up to the first time member with such a stamp, and the stamp."""
+    at = rf'{_MEMBER_KEY}\s*+:\s*+"?'
+    ahead = re.sub(r"\((?!\?)", "(?:", stamp)
+    return rf'\A\s*+\{{\s*+(?:(?!{at}{ahead}{end}){_STRING}\s*+:\s*+(?:{_STRING}|[-+\w.]++|{_nested(3)})\s*+,\s*+)*+{at}{stamp}{end}'
+
+
+CASCADE: list[tuple[str, str, str]] = [
+    ("rfc5424", rf"\A<\d{{1,3}}>\d{{1,2}} {_ISO}(?= )", _DATE_FIELDS),
+    ("rfc3164", rf"\A(?:<\d{{1,3}}>)?{MONTHS} +(\d{{1,2}})(?: (\d{{4}}))? {_HMS}{_FRAC}(?=[ :])", "$3|$1|$2|$4|$5|$6|$7||"),
+    ("jul", rf"\A{MONTHS} +(\d{{1,2}}), (\d{{4}}),? {_HMS}{_FRAC} ([AP]M)(?=\s)", "$3|$1|$2|$4|$5|$6|$7||$8"),
+    ("apache", rf"\A\[{DAYS} {MONTHS} +(\d{{1,2}}) {_HMS}{_FRAC} (\d{{4}})\]", "$7|$1|$2|$3|$4|$5|$6||"),
+    ("ctime", rf"\A{DAYS} {MONTHS} +(\d{{1,2}}) {_HMS}{_FRAC}(?: ([A-Z]{{1,5}}|[+-]\d\d(?::?\d\d)?))? (\d{{4}})(?=\s)", "$8|$1|$2|$3|$4|$5|$6|$7|"),
+    ("mail", rf"\A{DAYS}, +(\d{{1,2}}) {MONTHS} (\d{{4}}) {_HMS}{_FRAC}(?: ([A-Z]{{1,5}}|[+-]\d\d(?::?\d\d)?))?(?=\s)", "$3|$2|$1|$4|$5|$6|$7|$8|"),
+    ("clf", rf"\A\S++ \S++ \S++ \[(\d\d)/{MONTHS}/(\d{{4}}):{_HMS}(?: {_ZONE})?\]", "$3|$2|$1|$4|$5|$6||$7|"),
+    ("glog", rf"\A[DIWEFC](\d\d)(\d\d) +{_HMS}{_FRAC}(?=\s)", "|$1|$2|$3|$4|$5|$6||"),
+    ("logcat", rf"\A(\d\d)-(\d\d) {_HMS}{_FRAC}(?=\s)", "|$1|$2|$3|$4|$5|$6||"),
+    ("iso", rf"\A\[?{_ISO}(?=[\s,\]]|\z)", _DATE_FIELDS),
+    ("iso_basic", rf"\A\[?{_BASIC}(?=[\s,\]]|\z)", _DATE_FIELDS),
+    ("short", rf"\A(\d\d)/(\d\d)/(\d\d) {_HMS}{_FRAC}(?=\s)", "$1|$2|$3|$4|$5|$6|$7||YY"),
+    ("dense", rf"\A(\d\d)(\d\d)(\d\d) (\d\d)(\d\d)(\d\d){_FRAC}(?=\s)", "$1|$2|$3|$4|$5|$6|$7||YY"),
+    ("dotted", rf"\A(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}) {_HMS}{_FRAC}(?=[\s|])", "$3|$2|$1|$4|$5|$6|$7||"),
+    ("epoch", rf"\A{_EPOCH}(?=\s)", _EPOCH_FIELDS),
+    ("logfmt", _after_pairs(_ISO, r'"?(?=\s|\z)'), _DATE_FIELDS),
+    ("logfmt_basic", _after_pairs(_BASIC, r'"?(?=\s|\z)'), _DATE_FIELDS),
+    ("logfmt_epoch", _after_pairs(_EPOCH, r'"?(?=\s|\z)'), _EPOCH_FIELDS),
+    ("json", _after_members(_ISO, '"'), _DATE_FIELDS),
+    ("json_basic", _after_members(_BASIC, '"'), _DATE_FIELDS),
+    ("json_epoch", _after_members(_EPOCH, r'"?(?=[\s,}])'), _EPOCH_FIELDS),
 ]
 
 NS = 1_000_000_000
@@ -57,9 +93,8 @@ NS = 1_000_000_000
 def canonical(text: Column) -> Column:
     """``format|year|month|day|hour|minute|second|fraction|zone|half`` of the first pattern that holds, or null."""
     out = F
-    for name, pattern, to in CASCADE:
-        fields = F.concat_ws("|", *[F.regexp_extract(text, pattern, int(g[1:])) if g[:1] == "$" else F.lit(g) for g in to])
-        out = out.when(text.rlike(pattern), F.concat(F.lit(f"{name}|"), fields))
+    for name, pattern, fields in CASCADE:
+        out = out.when(text.rlike(pattern), F.regexp_replace(text, rf"(?s){pattern}.*\z", f"{name}|{fields}"))
     return out
 
 
@@ -163,12 +198,11 @@ def stated_instant(df: DataFrame, text: str, received_at: str, zone: str, out: s
     return _bound(staged, **{out: stated, f"{out}_format": part(0)}).select(*kept, out, f"{out}_format")
 
 
-def with_zone(df: DataFrame, devices: DataFrame, max_devices: int = 200_000) -> DataFrame:
+def with_zone(df: DataFrame, devices: DataFrame) -> DataFrame:
     """``df`` with ``source_zone``: that of the device with its peer, else of the one with its origin.
 
     Unknown zone names count as UTC. Of several devices the one with the lowest id counts. The
-    device table is collected behind a size check (it names machines, not events) and joined
-    by broadcast; a larger one is joined by shuffle.
+    session joins the devices by broadcast where their size is within its bound, else by shuffle.
     """
     names = F.array(*[F.lit(z) for z in sorted(zoneinfo.available_timezones() - {"localtime"})])
     known = devices.select("device_id", "peer_ip", "origin_path", F.when(F.array_contains(names, F.col("zone_name")), F.col("zone_name")).otherwise("UTC").alias("zone"))
@@ -176,11 +210,9 @@ def with_zone(df: DataFrame, devices: DataFrame, max_devices: int = 200_000) ->
     def by(key: str, name: str) -> DataFrame:
         return known.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(name)).agg(F.min_by("zone", "device_id").alias(f"_zone_{name}"))
 
-    few = devices.limit(max_devices + 1).count() <= max_devices
-    hint = F.broadcast if few else (lambda x: x)
     return (
-        df.join(hint(by("peer_ip", "peer")), "peer", "left")
-        .join(hint(by("origin_path", "origin")), "origin", "left")
+        df.join(by("peer_ip", "peer"), "peer", "left")
+        .join(by("origin_path", "origin"), "origin", "left")
         .withColumn("source_zone", F.coalesce("_zone_peer", "_zone_origin"))
         .drop("_zone_peer", "_zone_origin")
     )

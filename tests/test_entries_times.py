@@ -43,6 +43,11 @@ CASES = [
     ("Oct 26, 2025 12:27:37 AM a.b c\nINFO: x", "UTC", 0, ns(2025, 10, 26, 0, 27, 37)),
     ("25/10/28 12:01:42 INFO A: x", "UTC", 0, ns(2025, 10, 28, 12, 1, 42)),
     ("05.11.2025 22:51:29.68 | ERROR | k | x", "UTC", 0, ns(2025, 11, 5, 22, 51, 29, nanos=680_000_000)),
+    ('{"v": 2, "@timestamp": "20251013T120700Z", "m": "x"}', "Asia/Tokyo", 0, ns(2025, 10, 13, 12, 7)),
+    ('{"ctx": {"a": [1, {"b": "}"}], "time": 5}, "k": [], "time": "20251013T120700.25+0900"}', None, 0, ns(2025, 10, 13, 3, 7, nanos=250_000_000)),
+    ("20251013T120700 INFO x", "Asia/Tokyo", 0, ns(2025, 10, 13, 3, 7)), ("20251013120700 x", "UTC", 0, None), ("251013 120700 148 INFO x", "UTC", 0, ns(2025, 10, 13, 12, 7)),
+    ('level=a msg="time=2020-01-01T00:00Z \\" x" ts=20251013T120700Z', None, 0, ns(2025, 10, 13, 12, 7)), ("a=1 b= ts=- time=1760000000.5 c=d", None, 0, 1760000000_500_000_000),
+    ("Sun Oct 12 04:54:34 +11 2025 p(INFO): x", "Asia/Tokyo", 0, ns(2025, 10, 11, 17, 54, 34)), ("Sun, 12 Oct 2025 04:54:34 -0130 x", "Asia/Tokyo", 0, ns(2025, 10, 12, 6, 24, 34)),
     ("2025-02-30 00:00:00 x", "UTC", 0, None),
     ("2025-03-30 02:30:00 gap", "Europe/Berlin", 0, ns(2025, 3, 30, 1, 30)),
     ("[INFO ] lease - x", "UTC", 0, None), ("", "UTC", 0, None), (None, "UTC", 0, None), ("no 2025-01-01 head", "UTC", 0, None),
@@ -55,6 +60,19 @@ def test_instants(spark):
     assert got == {i: want for i, (*_, want) in enumerate(CASES)}
 
 
+def test_long_lines_are_read_once(spark):
+    """Hundreds of pairs without a time key, and lines of a megabyte, in time that grows with their length only."""
+    import time
+
+    pair, member = 'k="a b \\" c" ', '"k": "a \\" b", '
+    texts = [pair * 200 + "end", pair * 200 + "time=x", "{" + member * 200 + '"z": 1}', "{" + member * 200, pair * 80_000, "{" + member * 70_000, "{" + member * 70_000 + '"time": "20251013T120700Z"}', "x" * 1_000_000, "a=" * 500_000, '{"a": ' * 100_000, "[" * 1_000_000, '"' * 1_000_000, pair * 80_000 + "ts=2025-10-13T12:07Z"]
+    df = spark.createDataFrame([(i, t, "UTC", 0) for i, t in enumerate(texts)], "i int, text string, zone string, received_at long")
+    began = time.time()
+    got = {r.i: r.stated_ns for r in timestamps.stated_instant(df, "text", "received_at", "zone").collect() if r.stated_ns is not None}
+    assert got == {6: ns(2025, 10, 13, 12, 7), 12: ns(2025, 10, 13, 12, 7)}
+    assert time.time() - began < 60
+
+
 def test_receipts_of_any_precision(spark):
     df = spark.createDataFrame([(1760000000,), (1760000000123,), (1760000000123456,), (1760000000123456789,), (None,)], "r long")
     assert [x[0] for x in df.select(timestamps.receipt_ns(F.col("r"))).collect()] == [1760000000 * 10**9, 1760000000123 * 10**6, 1760000000123456 * 10**3, 1760000000123456789, None]
