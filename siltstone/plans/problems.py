@@ -10,7 +10,7 @@ from ..session import table
 
 def _entity(kind: str, *fields: str):
     def run(spark, d):
-        found = shred.attestation_entities(table(spark, d, "recent_events")).where(F.col("kind") == kind)
+        found = shred.attestation_entities(table(spark, d, "recent_events"), {kind: shred.ATTESTATION[kind]})
         return found.select("event_uid", "att_no", "child_no", *fields).distinct()
 
     return run

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from siltstone.operators import shred
 
 SCHEMA = "locator string, event_uid string, event_json string, value string, kind string"
@@ -36,12 +38,34 @@ def test_repeated_rows_collapse_and_empty_table(spark):
     assert shred.attestation_children(df.limit(0)).count() == 0
 
 
-def test_deep_documents_do_not_end_the_job(spark):
-    deep = '{"attestation_list": ' + "[" * 200 + "]" * 200 + "}"
-    assert shred.attestation_children(frame(spark, deep, "[" * 100_000)).count() == 0
+def test_deep_documents_are_read_whole(spark):
+    deep = '{"unmapped": ' + '{"x": [' * 30_000 + '"}"' + "]}" * 30_000 + ', "attestation_list": [{"fingerprint": {"value": -1.50e3}}]}'
+    got = rows(shred.attestation_children(frame(spark, deep, "[" * 100_000, deep[:-1])))
+    assert got == {("e0", 0, "fingerprint", 0, "-1.50e3")}
+
+
+@pytest.mark.parametrize("text", ["[]", "{}", "[1]", ' {"a": [true, null, {"b": "\\u00e9\\n"}], "c": -0.5e3} ', '"x"', "3", "[1, 2", "[1,]", '{"a" 1}', '{"a": 1,}', "{1: 2}", "[] []", "", "tru", '{"a": }', "[,]", "{,}", ":", '"a\nb"', "01", "[1}"])
+def test_the_parser_for_deep_documents_agrees_with_the_usual_one(text):
+    written = lambda t: json.loads(t, parse_int=shred._Written, parse_float=shred._Written, parse_constant=shred._Written)
+    try:
+        want = written(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            shred._parse_deep(text)
+    else:
+        assert shred._parse_deep(text) == want
+
+
+def test_members_named_like_paths_make_no_false_links(spark):
+    doc = {"attestation_list": [{"prev_event.fingerprint": {"value": "no"}, "prev_event/fingerprint": {"value": "no"}, "[]": {"value": "no"}, "signatures": {"[]": {"digest": {"value": "no"}}}}], "attestation_list[]": [{"fingerprint": {"value": "no"}}]}
+    assert rows(shred.attestation_children(frame(spark, doc))) == {("e0", 0, "signature", 0, "")}
+    nested = {"attestation_list": {"[]": {"fingerprint": {"value": "no"}}}}
+    assert rows(shred.attestation_children(frame(spark, nested))) == set()
 
 
 def test_adjacency_keeps_parents_and_ordinals(spark):
     nodes = shred.shred(frame(spark, {"a": [{"b": 1}, {"b": 2}]}), "event_json", "event_uid", "a").collect()
-    by = {n.node: n for n in nodes}
-    assert by["/a/1/b"].parent == "/a/1" and by["/a/1/b"].scalar == "2" and by["/a/1"].ordinal == 1 and by["/a"].kind == "array"
+    by = {(tuple(n.path), n.top): n for n in nodes}
+    second = by[("a", "[]"), 1]
+    assert by[("a", "[]", "b"), 1].above[-1] == second.node and by[("a", "[]", "b"), 1].scalar == "2" and second.ordinal == 1
+    assert by[("a",), None].kind == "array" and by[("a",), None].above == [] and second.above == [by[("a",), None].node]
