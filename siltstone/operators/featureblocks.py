@@ -7,7 +7,8 @@ is then read alone, folded to one row per entity and joined, bucket by bucket an
 further shuffle, onto the complete entity table.
 
 A block column lists the types that occur, so a row is as long as what the entity did and not
-as the catalogue of types; an absent type has count 0. ``widen`` gives flat columns.
+as the catalogue of types; an absent type has count 0. ``widen`` gives flat columns, one set
+for each type asked for, ``catalogue`` the types there are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch
 
 N_BLOCKS = 8
 
@@ -38,17 +39,23 @@ def event_types(features: DataFrame) -> DataFrame:
     )
 
 
+def block_of(class_uid: int) -> int:
+    """The block of a class: of its category, which is its number without the last three digits (towards zero, as SQL ``div``)."""
+    return abs(class_uid) // 1000 * (1 if class_uid >= 0 else -1) % N_BLOCKS
+
+
 def bucketed(types: DataFrame, buckets: int) -> DataFrame:
     """``types`` as a table in the shared folder, partitioned by block and bucketed by entity."""
     spark = types.sparkSession
     name = f"entity_types_{uuid.uuid4().hex}"
     block = F.coalesce(F.pmod(F.expr("class_uid div 1000"), F.lit(N_BLOCKS)), F.lit(0)).cast("int")
+    path = scratch(spark, "entity-types", name)
     (
         types.withColumn("block", block)
         .repartition(buckets, "src_ip")
         .write.partitionBy("block")
         .bucketBy(buckets, "src_ip")
-        .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
+        .option("path", path)
         .format("parquet")
         .saveAsTable(name)
     )
@@ -82,15 +89,27 @@ def listed(wide: DataFrame) -> DataFrame:
     return wide.select("src_ip", F.inline(F.concat(*[F.col(f"block_{k}") for k in range(N_BLOCKS)])))
 
 
+def catalogue(wide: DataFrame, most: int = 2000) -> list[tuple[int, int]]:
+    """The ``(class_uid, severity_id)`` that occur, in order; more than ``most`` are an error, for they become columns."""
+    types = listed(wide).where("class_uid is not null and severity_id is not null").select("class_uid", "severity_id").distinct().limit(most + 1).collect()
+    if len(types) > most:
+        raise ValueError(f"more than {most} event types")
+    return sorted((t.class_uid, t.severity_id) for t in types)
+
+
 def _of_type(block: Column, class_uid: int, severity_id: int) -> Column:
     hit = F.filter(block, lambda t: (t["class_uid"] == class_uid) & (t["severity_id"] == severity_id))
     return F.get(hit, F.lit(0))
 
 
 def widen(wide: DataFrame, types: list[tuple[int, int]]) -> DataFrame:
-    """Flat columns ``n_<class>_<severity>``, ``last_…`` and ``total_…`` of the given types; absent: 0, null, 0."""
+    """Flat columns ``n_<class>_<severity>``, ``last_…`` and ``total_…`` of the given types; absent: 0, null, 0.
+
+    A minus sign is ``m`` in a name: the type (-1, -1) has ``n_m1_m1``.
+    """
     out = [F.col("src_ip")]
     for c, s in types:
-        first = _of_type(F.col(f"block_{c // 1000 % N_BLOCKS}"), c, s)
-        out += [F.coalesce(first["n"], F.lit(0)).alias(f"n_{c}_{s}"), first["last_time_ns"].alias(f"last_{c}_{s}"), F.coalesce(first["severity_total"], F.lit(0)).alias(f"total_{c}_{s}")]
+        first = _of_type(F.col(f"block_{block_of(c)}"), c, s)
+        name = f"{c}_{s}".replace("-", "m")
+        out += [F.coalesce(first["n"], F.lit(0)).alias(f"n_{name}"), first["last_time_ns"].alias(f"last_{name}"), F.coalesce(first["severity_total"], F.lit(0)).alias(f"total_{name}")]
     return wide.select(*out)

@@ -8,6 +8,10 @@ from ..operators import featureblocks, loglines, rejects, shred, timestamps, wat
 from ..session import table
 
 
+#: Classes of the flat feature table: each with every severity.
+WIDE_CLASSES, WIDE_SEVERITIES = (-1, 0, 1001, 1003, 1008, 2004, 3002, 4001, 4002, 4009, 6003), (-1, 0, 1, 2, 3, 4, 5, 6, 99)
+
+
 def _entity(kind: str, *fields: str):
     def run(spark, d):
         found = shred.attestation_entities(table(spark, d, "recent_events"), {kind: shred.ATTESTATION[kind]})
@@ -21,6 +25,12 @@ def _valid(spark, d):
     return rows.select("locator", "pack", F.inline("fields")).distinct()
 
 
+def _wide(spark, d):
+    """The totals and a set of columns for every type of the event contract, whether it occurs or not."""
+    wide = featureblocks.entity_features(table(spark, d, "features"))
+    return featureblocks.widen(wide, [(c, s) for c in WIDE_CLASSES for s in WIDE_SEVERITIES])
+
+
 def _instants(spark, d):
     from ..operators.entries import assemble
 
@@ -46,6 +56,7 @@ def queries():
         "p6_diverted": lambda s, d: watermark.diverted(table(s, d, "envelopes"), table(s, d, "features")),
         "p6_corrections": lambda s, d: watermark.corrections(table(s, d, "envelopes"), table(s, d, "features")),
         "p7_features": lambda s, d: featureblocks.entity_features(table(s, d, "features")),
+        "p7_wide": _wide,
         "p7_listed": lambda s, d: featureblocks.listed(featureblocks.entity_features(table(s, d, "features"))),
     }
 
@@ -64,6 +75,7 @@ r AS (SELECT event_uid, min({_RECEIPT}) AS f FROM envelopes WHERE event_uid IS N
 e AS (SELECT event_uid, max(time_ns) AS time_ns, max(pack_id) AS pack_id FROM features GROUP BY 1),
 x AS (SELECT event_uid, pack_id, f, (time_ns - (time_ns % 3600000000000 + 3600000000000) % 3600000000000) // 1000000000 AS hour_start FROM e JOIN r USING (event_uid) WHERE time_ns <> -1)
 """
+_ONCE = "e AS (SELECT event_uid, min(src_ip) AS src_ip, min(class_uid) AS class_uid, min(severity_id) AS severity_id, min(time_ns) AS time_ns FROM (SELECT DISTINCT event_uid, src_ip, class_uid, severity_id, time_ns FROM features WHERE src_ip <> '') GROUP BY 1)"
 # Closing instants from their definition, per source and hour by as-of joins: a source counts where its last clock before
 # end + lateness is younger than the time-out, and holds the hour up to its next clock, at most for the time-out.
 _CLOSED = f"""WITH {_JUDGED},
@@ -96,6 +108,10 @@ SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, kind, CAST(child_no AS
         "p6_corrections": f"""{_CLOSED} SELECT hour_start, pack_id, close_ns + step * 900000000000 AS published_ns, CAST(row_number() OVER w - 1 AS INT) AS version, CAST(sum(n) OVER w AS BIGINT) AS n_events
  FROM (SELECT hour_start, pack_id, close_ns, CASE WHEN outcome = 'in_time' THEN 0 ELSE (f - close_ns + 899999999999) // 900000000000 END AS step, count(*) AS n FROM o WHERE outcome <> 'refused' GROUP BY ALL)
  WINDOW w AS (PARTITION BY hour_start, pack_id ORDER BY step)""",
+        "p7_features": f"""WITH {_ONCE}, t AS (SELECT src_ip, class_uid, severity_id, count(*) AS n, max(time_ns) AS last_time_ns, CAST(sum(severity_id) AS BIGINT) AS severity_total FROM e GROUP BY ALL),
+b AS (SELECT *, ((class_uid // 1000) % 8 + 8) % 8 AS k, {{'class_uid': class_uid, 'severity_id': severity_id, 'n': n, 'last_time_ns': last_time_ns, 'severity_total': severity_total}} AS one FROM t)
+SELECT src_ip, CAST(sum(n) AS BIGINT) AS n, max(last_time_ns) AS last_time_ns, CAST(sum(severity_total) AS BIGINT) AS severity_total, {", ".join(f"coalesce(list(one ORDER BY class_uid, severity_id) FILTER (k = {k}), []) AS block_{k}" for k in range(8))} FROM b GROUP BY 1""",
+        "p7_wide": f"""WITH {_ONCE} SELECT src_ip, {", ".join(f"count(*) FILTER (class_uid = {c} AND severity_id = {s}) AS n_{x}, max(time_ns) FILTER (class_uid = {c} AND severity_id = {s}) AS last_{x}, coalesce(CAST(sum(severity_id) FILTER (class_uid = {c} AND severity_id = {s}) AS BIGINT), 0) AS total_{x}" for c in WIDE_CLASSES for s in WIDE_SEVERITIES for x in [f"{c}_{s}".replace("-", "m")])} FROM e GROUP BY 1""",
         "p7_listed": """SELECT src_ip, class_uid, severity_id, count(*) AS n, max(time_ns) AS last_time_ns, CAST(sum(severity_id) AS BIGINT) AS severity_total
  FROM (SELECT DISTINCT event_uid, src_ip, class_uid, severity_id, time_ns FROM features WHERE src_ip <> '') GROUP BY 1, 2, 3""",
     }

@@ -64,4 +64,14 @@ def test_feature_blocks(spark):
     assert [tuple(x) for x in got["a"].block_4] == [(4001, 1, 2, 9, 2)] and [tuple(x) for x in got["a"].block_2] == [(2004, 3, 1, 7, 3)] and got["a"].block_1 == []
     flat = {r.src_ip: r for r in featureblocks.widen(wide, [(4001, 1), (2004, 3)]).collect()}
     assert (flat["a"].n_4001_1, flat["a"].last_2004_3, flat["b"].n_4001_1, flat["b"].last_4001_1) == (2, 7, 0, None)
+    assert featureblocks.catalogue(wide) == [(-1, -1), (1, 2), (2004, 3), (4001, 1)]
+    flat = {r.src_ip: r for r in featureblocks.widen(wide, featureblocks.catalogue(wide)).collect()}
+    assert (flat["b"].n_m1_m1, flat["b"].last_m1_m1, flat["b"].total_m1_m1, flat["a"].n_m1_m1, flat["c"].n_1_2) == (1, -1, -1, 0, 2)
     assert featureblocks.entity_features(spark.createDataFrame([], FEATURES)).count() == 0
+
+
+def test_blocks_of_negative_classes_are_where_the_writer_puts_them(spark):
+    classes = [-9999, -1001, -1000, -999, -1, 0, 999, 1000, 7999, 8000]
+    df = spark.createDataFrame([(str(c), "x", c, 1, 1, 0, 0) for c in classes], FEATURES)
+    stored = featureblocks.bucketed(featureblocks.event_types(df), 2)
+    assert {r.class_uid: r.block for r in stored.collect()} == {c: featureblocks.block_of(c) for c in classes}
