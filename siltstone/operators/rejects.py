@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import ipaddress
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layout tables above this many rows are refused: they are shipped with the task closure.
-MAX_LAYOUT_ROWS = 50_000
+#: About so many layout rows are shipped with one task closure; a larger table takes several passes, each over the rows of its packs.
+LAYOUT_ROWS = 50_000
 _LF, _CR = "\x1e", "\x1f"
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
@@ -197,10 +198,8 @@ def judge(texts: list[str | None], layout: dict) -> tuple[list[str | None], list
 
 
 def load_layouts(layouts: DataFrame) -> dict[str, dict]:
-    """Layouts by pack. The table is small by nature; its size is checked before it is collected."""
-    rows = layouts.select("pack_id", "delim", "quote_char", "col_no", "col_name", "kind", "is_optional").limit(MAX_LAYOUT_ROWS + 1).collect()
-    if len(rows) > MAX_LAYOUT_ROWS:
-        raise ValueError(f"more than {MAX_LAYOUT_ROWS} layout rows")
+    """Layouts by pack, in the driver; see ``sort_rows`` on the size."""
+    rows = layouts.select("pack_id", "delim", "quote_char", "col_no", "col_name", "kind", "is_optional").collect()
     out: dict[str, dict] = {}
     for r in sorted((r for r in rows if r.pack_id is not None and r.col_no is not None), key=lambda r: (r.pack_id, r.col_no)):
         one = out.setdefault(r.pack_id, {"delim": r.delim or ",", "quote": r.quote_char or None, "columns": []})
@@ -208,18 +207,27 @@ def load_layouts(layouts: DataFrame) -> dict[str, dict]:
     return out
 
 
-def sort_rows(letters: DataFrame, layouts: DataFrame) -> DataFrame:
+_ARROW = pa.schema([
+    ("locator", pa.string()), ("pack", pa.string()), ("reason", pa.string()), ("bad_col", pa.int32()),
+    ("fields", pa.list_(pa.struct([("col_no", pa.int32()), ("col_name", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("whole", pa.int64()), ("real", pa.float64()), ("stamp_ns", pa.int64())]))),
+])
+
+
+def sort_rows(letters: DataFrame, layouts: DataFrame, layout_rows: int = LAYOUT_ROWS) -> DataFrame:
     """Every dead letter with a pack: its reason (null: valid) and its typed fields.
 
     A null text counts as an empty record. A pack without a layout has reason ``layout``.
     Repeated rows stay repeated. Columns other than locator, pack and raw_text are ignored.
+    Layouts beyond ``layout_rows`` are taken in several passes by pack.
     """
-    known = load_layouts(layouts)
-    arrow = pa.schema([
-        ("locator", pa.string()), ("pack", pa.string()), ("reason", pa.string()), ("bad_col", pa.int32()),
-        ("fields", pa.list_(pa.struct([("col_no", pa.int32()), ("col_name", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("whole", pa.int64()), ("real", pa.float64()), ("stamp_ns", pa.int64())]))),
-    ])
+    parts = -(-layouts.count() // layout_rows) or 1
+    of_part = lambda pack, k: F.pmod(F.xxhash64(pack), F.lit(parts)) == k
+    rows = letters.where(F.col("pack").isNotNull()).select("locator", "pack", "raw_text")
+    judged = [_judge_all(rows.where(of_part("pack", k)), load_layouts(layouts.where(of_part("pack_id", k)))) for k in range(parts)] if parts > 1 else [_judge_all(rows, load_layouts(layouts))]
+    return reduce(DataFrame.unionByName, judged)
+
 
+def _judge_all(rows: DataFrame, known: dict[str, dict]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             locators, packs, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -233,9 +241,8 @@ def sort_rows(letters: DataFrame, layouts: DataFrame) -> DataFrame:
                 if p in known:
                     for i, r, b, f in zip(at, *judge([texts[i] for i in at], known[p])):
                         reasons[i], bad[i], fields[i] = r, b, f
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((locators, packs, reasons, bad, fields), arrow.types)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((locators, packs, reasons, bad, fields), _ARROW.types)], schema=_ARROW)
 
-    rows = letters.where(F.col("pack").isNotNull()).select("locator", "pack", "raw_text")
     return rows.mapInArrow(run, RESULT_SCHEMA)
 
 
@@ -251,6 +258,9 @@ def unsound_dispositions(recent: DataFrame) -> DataFrame:
 
 
 def rejects(letters: DataFrame, recent: DataFrame, layouts: DataFrame) -> DataFrame:
-    """``(locator, reason)``, distinct."""
-    bad = sort_rows(letters, layouts).where(F.col("reason").isin("quoting", "columns", "value")).select("locator", "reason")
+    """``(locator, reason)``, distinct: quoting, columns, value, disposition, or layout where a pack has none to be read by.
+
+    Every dead letter with a pack is either here or, typed, among the rows of ``sort_rows`` without a reason.
+    """
+    bad = sort_rows(letters, layouts).where(F.col("reason").isNotNull()).select("locator", "reason")
     return bad.unionByName(unsound_dispositions(recent)).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import featureblocks, loglines, rejects, shred, timestamps, watermark
 from ..session import table
+from . import rejects_sql
 
 
 #: Classes of the flat feature table: each with every severity.
@@ -101,6 +102,8 @@ SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, kind, CAST(child_no AS
         "p1_prev_events": f"WITH {_ATT} SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, CAST(0 AS INT) AS child_no, a->>'$.prev_event.uid' AS uid, a->>'$.prev_event.type_uid' AS type_uid FROM att WHERE json_type(a, '$.prev_event') = 'OBJECT'",
         "p1_fingerprints": f"WITH {_ATT} SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, CAST(0 AS INT) AS child_no, a->>'$.fingerprint.algorithm_id' AS algorithm_id, a->>'$.fingerprint.algorithm' AS algorithm, a->>'$.fingerprint.encoding_id' AS encoding_id, a->>'$.fingerprint.serialization_id' AS serialization_id, a->>'$.fingerprint.value' AS value FROM att WHERE json_type(a, '$.fingerprint') = 'OBJECT'",
         "p1_signatures": f"WITH {_ATT} SELECT DISTINCT event_uid, CAST(att_no AS INT) AS att_no, CAST(child_no AS INT) AS child_no, g->>'$.algorithm_id' AS algorithm_id, g->>'$.algorithm' AS algorithm, g->>'$.created_time' AS created_time, g->>'$.developer_uid' AS developer_uid, g->>'$.digest.value' AS digest_value FROM sig",
+        "p3_found": rejects_sql.FOUND,
+        "p3_valid": rejects_sql.VALID,
         "p6_found": f"WITH {_JUDGED} SELECT event_uid, hour_start FROM x WHERE f > (hour_start + 25200) * 1000000000",
         "p6_hourly": f"""{_CLOSED} SELECT hour_start, pack_id, max(close_ns) AS close_ns, count(*) FILTER (outcome = 'in_time') AS n_at_close, count(*) FILTER (outcome <> 'refused') AS n_final,
  count(*) FILTER (outcome <> 'in_time') AS n_diverted, count(*) FILTER (outcome = 'refused') AS n_refused FROM o GROUP BY 1, 2""",

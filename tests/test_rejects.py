@@ -58,6 +58,8 @@ def test_whole_operator(spark):
     letters = spark.createDataFrame([("l1", "p", "w,1\n", 1), ("l2", "p", "w", 2), ("l2", "p", "w", 2), ("l3", None, "w", 3), ("l4", "q", "w", 4), (None, "p", "x,y", 5)], "locator string, pack string, raw_text string, reason int")
     recent = spark.createDataFrame([("r1", "p", "parsed"), ("r2", None, "parsed"), ("r3", None, "unidentified"), ("r4", "p", "unidentified"), ("r5", "p", None), ("r6", "p", "Parsed")], "locator string, pack string, disposition string")
     got = {tuple(r) for r in rejects.rejects(letters, recent, layouts).collect()}
-    assert got == {("l2", "columns"), (None, "value"), ("r2", "disposition"), ("r4", "disposition"), ("r5", "disposition"), ("r6", "disposition")}
+    assert got == {("l2", "columns"), (None, "value"), ("l4", "layout"), ("r2", "disposition"), ("r4", "disposition"), ("r5", "disposition"), ("r6", "disposition")}
     assert rejects.rejects(letters.limit(0), recent.limit(0), layouts.limit(0)).count() == 0
+    more = layouts.union(spark.createDataFrame([(f"p{i}", ",", None, 0, "a", "text", False) for i in range(20)], layouts.schema))
+    assert {tuple(r)[:3] for r in rejects.sort_rows(letters, more, layout_rows=4).collect()} == {tuple(r)[:3] for r in rejects.sort_rows(letters, layouts).collect()}
     assert re.match("layout", rejects.sort_rows(letters.where("pack = 'q'"), layouts).head().reason)
