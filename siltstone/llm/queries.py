@@ -35,6 +35,8 @@ def queries():
         "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leakage.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
         "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
+        "p10_lengths": lambda s, d: truncation.lengths(table(s, d, "documents")),
+        "p10_limits": lambda s, d: truncation.limits(truncation.lengths(table(s, d, "documents"))),
         "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
 
@@ -42,6 +44,8 @@ def queries():
 _LEVEL = "CASE WHEN g = 7 THEN 'all' ELSE concat_ws('+', CASE WHEN g & 4 = 0 THEN 'day' END, CASE WHEN g & 2 = 0 THEN 'pack_id' END, CASE WHEN g & 1 = 0 THEN 'class_uid' END) END"
 
 
+_LENGTHS = """l AS (SELECT source, 'text' AS "column", measure, length, count(*) AS n FROM (
+ SELECT coalesce(source, '') AS source, unnest(['chars', 'bytes']) AS measure, unnest([length(text), strlen(text)]) AS length FROM documents WHERE regexp_matches(text, '\\S')) GROUP BY ALL)"""
 _CUBE = f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_ip, n_ip, CAST(0 AS BIGINT) AS error_bound FROM (
  SELECT grouping(day, pack_id, class_uid) AS g, day, pack_id, class_uid, count(DISTINCT a) FILTER (s = 1) AS n_src_ip, count(DISTINCT a) FILTER (s = 2) AS n_dst_ip, count(DISTINCT a) AS n_ip
  FROM (SELECT CAST(floor(epoch_seconds / 86400) AS INT) AS day, pack_id, class_uid, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''
@@ -51,6 +55,11 @@ _CUBE = f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_i
 
 def oracle_sql():
     return {
+        "p10_lengths": f"WITH {_LENGTHS} SELECT * FROM l",
+        "p10_limits": f"""WITH {_LENGTHS}, w AS (SELECT *, sum(n) OVER (PARTITION BY source, measure) AS total,
+  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND abs(o.length - l.length) BETWEEN 4 AND 40) / 74 AS density,
+  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND o.length > l.length + 3) AS above FROM l)
+ SELECT source, "column", measure, length, n FROM w WHERE n >= 5 AND n >= 0.01 * total AND n >= 5 * density AND above <= 0.02 * total""",
         "p2_distinct": _CUBE,
         "p2_runs": _CUBE,
         "p2_returning": """WITH o AS (SELECT DISTINCT CAST(floor(epoch_seconds / 86400) AS INT) AS day, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''

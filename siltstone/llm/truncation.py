@@ -1,22 +1,20 @@
 """Texts cut off at a field limit or in transfer.
 
-Per source, histograms of text lengths in characters and bytes give the limits: lengths near
-the maximum at which far more texts end than at the lengths around them. A text at such a
-length is suspected, unless it ends as complete texts end. Cuts in transfer have any length;
-they too show in an ending that no complete text has. What complete endings are is learned
-from the corpus, by a ratio that does not move with its size: how many of the lines that reach
-an ending stop there, and how many go on past it. A line that another line follows has ended by
-itself; all are counted by kind of line over distinct texts. Prose ends with terminal
-punctuation. Some complete endings (a signature, a closing phrase) only stand last. The last
-line of a text counts too, therefore, but not for that text, nor for its exact copies, nor if
-the text or a copy of it is at a limit.
-
-Decision, in this order: a blank text is complete; an ending damaged within a character,
-escape or entity is cut; so is one that names the cut, as [truncated] does; dots of omission are
-cut at a limit, unless the same closing phrase is common elsewhere, and away from limits unless
-a sentence or a closing phrase (known, or recurring among such texts) ends before them; terminal punctuation is complete; a line
-of structure (list item, quoted log line, command, link, signature ...) is complete if enough
-lines stop at its ending or it closes its brackets; anything else is cut.
+Field limits. Per source and column, histograms of the lengths of texts in characters and in
+bytes show the limits: lengths near the maximum at which far more texts end than at the lengths
+around them. A text at such a length is cut unless it ends in terminal punctuation.
+
+Transfer. A cut in transfer has any length, so no histogram shows it; texts away from limits
+are judged by another method, their ending. One within a character, escape or entity is cut.
+Terminal punctuation and dots of omission are complete, and so is a line that closes its last
+bracket or quote. Any other ending, the last two words of the last line with names and numbers
+masked, is compared with the lines of the corpus that begin alike: it is
+complete if, of the lines that reach it, enough stop there rather than go on past it. A line
+that another line follows has ended by itself; running text counts only where a paragraph ends.
+Some endings only stand last; the last line of a text counts too, therefore, but not for that
+text nor for its exact copies, nor if a copy of it is at a limit. A source that often ends
+running text without punctuation is not judged by it. There are no lists of marks, phrases or
+kinds of line; all shares are of distinct texts, so that the verdict does not move with size.
 """
 
 from __future__ import annotations
@@ -42,29 +40,16 @@ SLACK = 3
 STOP_SHARE = 0.01
 #: or this share and this many stop there before another line or as last lines of other texts, which might be cut.
 LAST_SHARE, LAST_COUNT = 0.03, 2
-#: A mark of omission is a closing phrase if so many texts away from limits have it, and this share of all.
-PHRASE_COUNT, PHRASE_SHARE = 3, 0.5
-#: Away from limits it is one if another text has it, and others make up this share of those away from limits.
-PHRASE_LEAST = 0.01
+#: A source ends running text without punctuation by habit if this share of its texts that end in running text does.
+HABIT_SHARE = 0.25
+#: A line of more words than this that begins with a letter is running text.
+FEW_WORDS = 4
 #: Endings of this size in bytes, about, are looked for at once.
 KEYS_SIZE = 16_000_000
 
-_MARK = r"\s*(?:\[truncated\]|\[cut\]|\[\.\.\.\]|\[…\]|\(more\)|\(truncated\)|<cut>|<truncated>|<snip>|…|\.\.\.)$"
-_DOTS = ("…", "...")
-_PHRASE = r"\b(?:to be continued|and so (?:on|forth)|et cetera|etc|more to come|more on (?:that|this)(?: (?:next (?:week|time)|later|soon|tomorrow))?|we(?: wi|')ll see|usw|und so weiter|et ainsi de suite|y así sucesivamente|itd|i tak dalej)$"
-_DAMAGE = r"(?:\N{REPLACEMENT CHARACTER}|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\x[0-9a-fA-F]?|\\|%(?:[0-9A-F]|[C-F][0-9A-F])?|&#?[a-zA-Z0-9]{0,8})$"
-_TERMINAL = r"[.!?。！？｡؟।‼⁇⁈⁉][\p{Pe}\p{Pf}\"'`*_]*(?:\s*\(more below\))?$"
-_KINDS = [
-    ("item", r"\s*(?:[-*•+]|\d+[.)]) "),
-    ("quote", r"(?:> ?|\s{4}|\t)"),
-    ("command", r"[$#>%] ?[a-z]"),
-    ("link", r"https?://"),
-    ("signature", r"-- "),
-    ("fence", r"(?:```|~~~)"),
-    ("heading", r"(?:==|#|\||\[[A-Z]+-\d)"),
-    ("log", r"(?:<\d|\[|\d{2,4}[-/.]\d|\d{9}|[DIWEF]\d{4} |\{|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +\w|time=|level=|\d+\.\d+\.\d+\.\d+ - )"),
-]
-_STACK_HEAD = r"\d [AP]M [\w.$]+ \w+$"
+_DAMAGE = r"(?:\N{REPLACEMENT CHARACTER}|\\u[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2}|\\x[0-9a-fA-F]?|\\|%[C-F][0-9A-F]|(?<=[^\W\d])%[0-9A-F]?|&#?[a-z0-9]{0,8})$"
+_TERMINAL = r"[.!?。！？｡؟।‼⁇⁈⁉][\p{Pe}\p{Pf}\"'`*_]*$"
+_OMISSION = r"(?:\.\.\.|…)[\p{Pe}\p{Pf}\"'`*_]*$"
 
 
 class Endings:
@@ -73,56 +58,42 @@ class Endings:
     def __init__(self) -> None:
         import regex
 
-        self.regex = regex
-        self.mark, self.damage, self.terminal, self.head, self.phrase = (regex.compile(p).search for p in (_MARK, _DAMAGE, _TERMINAL, _STACK_HEAD, _PHRASE))
-        self.kinds = [(k, regex.compile(p).match) for k, p in _KINDS]
+        self.damage, self.terminal, self.omission = (regex.compile(p).search for p in (_DAMAGE, _TERMINAL, _OMISSION))
         self.digits = regex.compile(r"\d+").sub
-        self.letters = regex.compile(r"[a-z]+").sub
+        self.letters = regex.compile(r"[^\W\d_]+").sub
+        self.compound = regex.compile(r"\w[^\w\s]+\w|\d").search
 
     def kind(self, line: str) -> str:
-        for name, match in self.kinds:
-            if match(line):
-                return name
-        return "short" if len(line.split(None, 4)) <= 4 else "prose"
+        """How a line begins: ``prose`` or ``short`` with a letter, else its first character (9 for a digit, a blank for white space)."""
+        first = line[0]
+        if first.isalpha():
+            return "short" if len(line.split(None, FEW_WORDS)) <= FEW_WORDS else "prose"
+        return "9" if first.isdigit() else " " if first.isspace() else first
 
-    def key(self, line: str, kind: str) -> str:
-        """The last two words, of a short line all, in lower case with digits masked; links have their words masked too."""
-        return " ".join(self.words(line, kind)[0 if kind == "short" else -2 :])
+    def words(self, line: str) -> list[str]:
+        """The words of a line in lower case; in names, numbers and addresses letters and digits are masked."""
+        return [self.digits("9", self.letters("a", w)) if self.compound(w) else w for w in line.lower().split()]
 
-    def words(self, line: str, kind: str) -> list[str]:
-        low = line.lower()
-        if kind == "link":
-            low = self.letters("a", low)
-        return self.digits("9", low).split()
+    def key(self, line: str) -> str:
+        return " ".join(self.words(line)[-2:])
 
     def closed(self, line: str) -> bool:
-        """Whether a structured line ends in a closer and all its brackets and double quotes are closed."""
-        if line[-1:] not in (")", '"', "}"):
+        """Whether a line ends by closing a bracket or double quote, and leaves none open."""
+        if line[-1] not in ")]}\"":
             return False
-        return line.count("(") == line.count(")") and line.count("{") == line.count("}") and line.count("[") == line.count("]") and (line.count('"') - line.count('\\"')) % 2 == 0
+        return all(line.count(a) == line.count(b) for a, b in ("()", "[]", "{}")) and (line.count('"') - line.count('\\"')) % 2 == 0
 
     def classify(self, text: str | None) -> tuple[str, str, str]:
-        """``(class, kind, key)`` of a text's ending. Kinds of a mark: ``mark`` names the cut, ``closed`` are dots after a sentence or known phrase, ``dots`` are others."""
+        """``(ending, kind, key)``: blank, damage, omission, terminal, closed or open."""
         bare = (text or "").rstrip()
         if not bare:
             return "blank", "", ""
         line = bare[max(bare.rfind("\n"), bare.rfind("\r")) + 1 :]
-        kind = self.kind(line)
-        if self.damage(bare[-16:]):
-            return "damage", kind, ""
-        if mark := self.mark(bare[-24:]):
-            if mark.group().strip() not in _DOTS:
-                return "mark", "mark", self.key(line, "mark")
-            before = bare[: len(bare) - len(mark.group())][-60:].lower()
-            return "mark", "closed" if self.terminal(before) or self.phrase(before) else "dots", self.key(line, "mark")
-        low = bare[-60:].lower()
-        if self.terminal(low):
-            return "terminal", kind, ""
-        if kind == "fence" and line.strip("`~ ") == "":
-            return "terminal", kind, ""
-        if kind != "prose" and (self.closed(line) or kind in ("quote", "log") and self.head(line)):
-            return "terminal", kind, ""
-        return ("prose" if kind == "prose" else "structure"), kind, self.key(line, kind)
+        kind, last = self.kind(line), line.split()[-1]
+        for name, shows in (("damage", self.damage), ("omission", self.omission), ("terminal", self.terminal)):
+            if shows(last):
+                return name, kind, ""
+        return ("closed", kind, "") if self.closed(line) else ("open", kind, self.key(line))
 
 
 def text_id(text: str | None) -> bytes:
@@ -148,32 +119,26 @@ def endings(documents: DataFrame) -> DataFrame:
 class Passed:
     """Finds where lines go on past given endings."""
 
-    HEAD = 8
-
     def __init__(self, keys: list[tuple[str, str]]) -> None:
         self.keys = set(keys)
-        self.starts: dict = {}  # short lines: by how they begin
-        self.pairs: dict = {}  # other kinds: by all but the last word
+        self.pairs: dict = {}  # by kind and all but the last word: the last words, by their first letter
         for kind, key in keys:
-            if kind == "short":
-                self.starts.setdefault(key[: self.HEAD], []).append(key)
-            else:
-                before, _, last = key.rpartition(" ")
-                self.pairs.setdefault((kind, before), []).append((last, key))
+            before, _, last = key.rpartition(" ")
+            self.pairs.setdefault(kind, {}).setdefault(before, {}).setdefault(last[0], []).append((last, key))
 
     def past(self, words: list[str], kind: str) -> Iterator[tuple[str, str]]:
-        """The endings that a line goes on past: a short one from its beginning, others anywhere (single words only as the first)."""
-        if kind in ("short", "prose"):
-            line = " ".join([*words[:4], *(w[:1] for w in words[4:5])])
-            for n in range(1, self.HEAD + 1):
-                for key in self.starts.get(line[:n], ()) if n <= len(line) else ():
-                    if len(line) > len(key) and line.startswith(key):
-                        yield "short", key
-            return
-        for i, word in enumerate(words):
-            for last, key in self.pairs.get((kind, words[i - 1] if i else ""), ()):
-                if word.startswith(last) and (len(word) > len(last) or i < len(words) - 1):
-                    yield kind, key
+        """The endings that a line goes on past, wherever it does (single words only as the first); short lines and running text go past those of both."""
+        for like in ("short", "prose") if kind in ("short", "prose") else (kind,):
+            asked = self.pairs.get(like)
+            if not asked:
+                continue
+            before = ""
+            for i, word in enumerate(words):
+                if (lasts := asked.get(before)) is not None:
+                    for last, key in lasts.get(word[0], ()):
+                        if word.startswith(last) and (len(word) > len(last) or i < len(words) - 1):
+                            yield like, key
+                before = word
 
 
 def line_endings(documents: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -187,13 +152,15 @@ def line_endings(documents: DataFrame, keys: list[tuple[str, str]]) -> DataFrame
             for text in batch.column(0).to_pylist():
                 stops: Counter = Counter()
                 past: Counter = Counter()
-                lines = [x for x in map(str.rstrip, (text or "").splitlines()) if x]
+                lines = [x.rstrip() for x in (text or "").rstrip().splitlines()]
                 for i, line in enumerate(lines):
-                    kind = ends.kind(line)
-                    words = ends.words(line, kind)
+                    if not line:
+                        continue
+                    kind, words = ends.kind(line), ends.words(line)
                     past.update(passed.past(words, kind))
-                    if kind != "prose" and i < len(lines) - 1:
-                        found = kind, " ".join(words[0 if kind == "short" else -2 :])
+                    # the last line is counted with the last lines; running text may be wrapped anywhere but at the end of a paragraph
+                    if i < len(lines) - 1 and (kind != "prose" or not lines[i + 1]):
+                        found = kind, " ".join(words[-2:])
                         if found in passed.keys:
                             stops[found] += 1
                 own = text_id(text)
@@ -209,8 +176,8 @@ def line_endings(documents: DataFrame, keys: list[tuple[str, str]]) -> DataFrame
 
 
 def stops(documents: DataFrame, ended: DataFrame) -> DataFrame:
-    """``line_endings`` of all endings that are in question in ``ended``, in as many passes as they need."""
-    asked = ended.where(F.col("ending") == "structure").select("kind", "key").distinct()
+    """``line_endings`` of all open endings in ``ended``, in as many passes as they need."""
+    asked = ended.where(F.col("ending") == "open").select("kind", "key").distinct()
     size = asked.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
     parts = size // KEYS_SIZE + 1
     found = None
@@ -222,25 +189,59 @@ def stops(documents: DataFrame, ended: DataFrame) -> DataFrame:
 
 
 def last_endings(placed: DataFrame) -> DataFrame:
-    """``(kind, key, n_last, n_limit)``: how many distinct texts end so away from limits, and how many of which a copy is at one."""
-    texts = placed.where(F.col("ending").isin("structure", "mark")).groupBy("text_id", "kind", "key").agg(F.max("at_limit").alias("at_limit"))
-    return texts.groupBy("kind", "key").agg(F.count_if(~F.col("at_limit")).alias("n_last"), F.count_if("at_limit").alias("n_limit"))
+    """``(kind, key, n_last)``: how many distinct texts, of which no copy is at a limit, end so."""
+    texts = placed.where(F.col("ending") == "open").groupBy("text_id", "kind", "key").agg(F.max("at_limit").alias("at_limit"))
+    return texts.groupBy("kind", "key").agg(F.count_if(~F.col("at_limit")).alias("n_last"))
+
+
+def habits(placed: DataFrame) -> DataFrame:
+    """``(source, open_share)``: of a source's distinct texts away from limits that end in running text, the share that ends without punctuation."""
+    ends = placed.where((F.col("kind") == "prose") & ~F.col("at_limit") & F.col("ending").isin("open", "terminal", "omission", "closed"))
+    return ends.select("source", "text_id", "ending").distinct().groupBy("source").agg(F.avg((F.col("ending") == "open").cast("double")).alias("open_share"))
+
+
+# --- field limits -----------------------------------------------------------------------------------
+
 
+def lengths(documents: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The histograms ``(source, column, measure, length, n)`` of the columns' lengths in characters and bytes, blank texts left out."""
+    source = F.coalesce("source", F.lit(""))
+    measured = [
+        F.struct(F.lit(c).alias("column"), F.lit(m).alias("measure"), F.when(F.regexp_like(F.col(c), F.lit(r"\S")), of(F.col(c))).cast("bigint").alias("length"))
+        for c in columns
+        for m, of in (("chars", F.length), ("bytes", F.octet_length))
+    ]
+    rows = documents.select(source.alias("source"), F.inline(F.array(*measured))).where(F.col("length").isNotNull())
+    return rows.groupBy("source", "column", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
 
-def limits(ended: DataFrame) -> DataFrame:
-    """``(source, measure, length, n)``: the lengths at which a source's texts are cut, from the histograms of chars and bytes."""
-    measures = F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_text_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_text_bytes").alias("length")))
-    histogram = ended.where(F.col("ending") != "blank").select("source", F.inline(measures)).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
-    group = W.partitionBy("source", "measure")
+
+def limits(histogram: DataFrame) -> DataFrame:
+    """``(source, column, measure, length, n)``: the lengths at which a source's texts are cut.
+
+    A source, column and measure has one row per length that occurs, so the windows sort few rows.
+    """
+    group = W.partitionBy("source", "column", "measure")
     around = group.orderBy("length").rangeBetween(-REACH, REACH)
     close = group.orderBy("length").rangeBetween(-SLACK, SLACK)
     beyond = group.orderBy(F.col("length").desc()).rangeBetween(W.unboundedPreceding, -SLACK - 1)
     total, near = F.sum("n").over(group), F.sum("n").over(around) - F.sum("n").over(close)
     above = F.coalesce(F.sum("n").over(beyond), F.lit(0))
-    scored = histogram.select("source", "measure", "length", "n", total.alias("total"), (near / (2 * (REACH - SLACK))).alias("density"), above.alias("above"))
+    scored = histogram.select("*", total.alias("total"), (near / (2 * (REACH - SLACK))).alias("density"), above.alias("above"))
     return scored.where(
         (F.col("n") >= SPIKE_COUNT) & (F.col("n") >= SPIKE_SHARE * F.col("total")) & (F.col("n") >= SPIKE_FACTOR * F.col("density")) & (F.col("above") <= ABOVE_SHARE * F.col("total"))
-    ).select("source", "measure", "length", "n")
+    ).select("source", "column", "measure", "length", "n")
+
+
+def with_limits(ended: DataFrame, found: DataFrame) -> DataFrame:
+    """``ended`` with ``at_limit``: whether a text has a length at which its source cuts."""
+    spikes = found.groupBy("source").agg(
+        F.collect_list(F.when(F.col("measure") == "chars", F.col("length"))).alias("char_limits"),
+        F.collect_list(F.when(F.col("measure") == "bytes", F.col("length"))).alias("byte_limits"),
+    )
+    hit: Column = F.exists("char_limits", lambda x: F.col("n_text_chars") == x) | F.exists(
+        "byte_limits", lambda x: (F.col("n_text_bytes") > x - SLACK) & (F.col("n_text_bytes") <= x)
+    )
+    return ended.join(spikes, "source", "left").withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("char_limits", "byte_limits")
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -251,32 +252,23 @@ def judged(documents: DataFrame) -> DataFrame:
     from ..session import cut
 
     ended = cut(endings(documents).withColumn("source", F.coalesce("source", F.lit(""))))
-    spikes = limits(ended).groupBy("source").agg(
-        F.collect_list(F.when(F.col("measure") == "chars", F.col("length"))).alias("char_limits"),
-        F.collect_list(F.when(F.col("measure") == "bytes", F.col("length"))).alias("byte_limits"),
-    )
-    with_limits = ended.join(spikes, "source", "left")
-    hit: Column = F.exists("char_limits", lambda x: F.col("n_text_chars") == x) | F.exists(
-        "byte_limits", lambda x: (F.col("n_text_bytes") > x - SLACK) & (F.col("n_text_bytes") <= x)
+    placed = with_limits(ended, limits(lengths(documents)))
+    asked = placed.where((F.col("ending") == "open") & ~F.col("at_limit"))
+    known = (
+        placed.join(last_endings(placed), ["kind", "key"], "left")
+        .join(stops(documents, asked), ["kind", "key"], "left")
+        .join(habits(placed), "source", "left")
     )
-    placed = with_limits.withColumn("at_limit", F.coalesce(hit, F.lit(False))).drop("char_limits", "byte_limits")
-    lasts = last_endings(placed)
-    dots = lasts.where(F.col("kind") == "dots").agg(F.coalesce(F.sum("n_last"), F.lit(0)).alias("n_dots"))  # one row
-    known = placed.join(lasts, ["kind", "key"], "left").crossJoin(F.broadcast(dots)).join(stops(documents, ended), ["kind", "key"], "left")
     stop, past, last = (F.coalesce(n, F.lit(0)) for n in ("n_stop", "n_past", "n_last"))
-    # a text's own last line is among n_last unless it is at a limit
-    others_last = F.greatest(last - (~F.col("at_limit")).cast("int"), F.lit(0))
-    others = stop + others_last
+    # a text's own last line is among n_last unless it or a copy is at a limit
+    others = stop + F.greatest(last - 1, F.lit(0))
     stops_there = (stop >= 1) & (stop >= STOP_SHARE * (stop + past)) | (others >= LAST_COUNT) & (others >= LAST_SHARE * (others + past))
-    is_phrase = (last >= PHRASE_COUNT) & (last >= PHRASE_SHARE * (last + F.coalesce("n_limit", F.lit(0))))
-    recurs = (others_last >= 1) & (others_last >= PHRASE_LEAST * F.col("n_dots"))
+    habit = (F.col("kind") == "prose") & (F.coalesce("open_share", F.lit(0.0)) >= HABIT_SHARE)
     is_cut = (
-        F.when(F.col("ending") == "damage", True)
-        .when((F.col("ending") == "mark") & (F.col("kind") == "mark"), True)
-        .when((F.col("ending") == "mark") & F.col("at_limit"), ~is_phrase)
-        .when(F.col("ending") == "mark", (F.col("kind") == "dots") & ~recurs)
-        .when(F.col("ending") == "structure", ~stops_there)
-        .otherwise(F.col("ending") == "prose")
+        F.when(F.col("ending") == "blank", False)
+        .when(F.col("at_limit"), F.col("ending") != "terminal")
+        .when(F.col("ending") == "open", ~stops_there & ~habit)
+        .otherwise(F.col("ending") == "damage")
     )
     return known.select("doc_id", "source", "n_text_chars", "n_text_bytes", "ending", "at_limit", is_cut.alias("is_cut"))
 
@@ -286,6 +278,13 @@ def found(documents: DataFrame) -> DataFrame:
     return judged(documents).where("is_cut").select("doc_id").distinct()
 
 
+def at_limits(documents: DataFrame) -> DataFrame:
+    """``(source, n_texts, n_at_limit, n_cut_at_limit)``: what the length histograms alone decide, per source."""
+    ended = endings(documents).withColumn("source", F.coalesce("source", F.lit(""))).where(F.col("ending") != "blank")
+    placed = with_limits(ended, limits(lengths(documents)))
+    return placed.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("at_limit").alias("n_at_limit"), F.count_if(F.col("at_limit") & (F.col("ending") != "terminal")).alias("n_cut_at_limit"))
+
+
 def rates(documents: DataFrame) -> DataFrame:
     """How often each source cuts: ``(source, n_texts, n_cut, n_cut_at_limit, rate)``."""
     return judged(documents).where(F.col("ending") != "blank").groupBy("source").agg(

@@ -8,8 +8,8 @@ ENDS = truncation.Endings()
 
 
 @pytest.mark.parametrize("text,want", [
-    ("A full sentence.", "terminal"), ('He said "yes."', "terminal"), ("全部。", "terminal"), ("stops in the mid", "structure"), ("this long line stops within a sentence and ha", "prose"), ("", "blank"), (" \n", "blank"), (None, "blank"),
-    ("cut in transfer bec%C3", "damage"), ("cut in a character �", "damage"), ("an escape \\u00", "damage"), ("some text that was [truncated]", "mark"), ("goes on…", "mark"), ("```\ncode\n```", "terminal"), ("x y z w v. (more below)", "terminal"), ("x" * 100_000, "structure"),
+    ("A full sentence.", "terminal"), ('He said "yes."', "terminal"), ("全部。", "terminal"), ("stops in the mid", "open"), ("this long line stops within a sentence and ha", "open"), ("", "blank"), (" \n", "blank"), (None, "blank"),
+    ("cut in transfer bec%C3", "damage"), ("cut in a character �", "damage"), ("an escape \\u00", "damage"), ("an entity caf&eac", "damage"), ("load is 95%", "open"), ("R&D", "open"), ("goes on…", "omission"), ('"goes on..."', "omission"), ("- a table (b[1])", "closed"), ("- a table) (b", "open"), ("- a) \"b", "open"), ("x" * 100_000, "open"),
 ])
 def test_endings(text, want):
     assert ENDS.classify(text)[0] == want
@@ -39,7 +39,7 @@ def corpus():
 def test_limits_and_cut_texts(spark):
     docs, cut = corpus()
     df = spark.createDataFrame([(*d, 0, "x") for d in docs], "doc_id long, text string, source string, at_limit int, kind string")
-    spikes = {(r.source, r.length) for r in truncation.limits(truncation.endings(df)).collect()}
+    spikes = {(r.source, r.length) for r in truncation.limits(truncation.lengths(df)).collect()}
     assert spikes == {("limited", 300)}
     got = {r.doc_id for r in truncation.found(df).collect()}
     assert got == cut
@@ -79,8 +79,24 @@ def test_endings_in_passes(spark, monkeypatch):
     assert {r.doc_id for r in truncation.found(df).collect()} == cut
 
 
-def test_marks_away_from_limits(spark):
-    texts = ["It is 541 records wait...", "Nothing in the pack expl…", "It went on to the sto [truncated]", "It went on.<cut>", "The count of bl [...]"]
-    whole = ["All of it is here. To be continued...", "He waited. ...", "One is sent. More on that next week…", "Two are sent. More on that next week…"]
-    df = spark.createDataFrame([(i, t, "open") for i, t in enumerate(texts + whole)], "doc_id long, text string, source string")
-    assert sorted(r.doc_id for r in truncation.found(df).collect()) == list(range(len(texts)))
+def test_running_text_of_a_source_without_full_stops(spark):
+    """Lines of prose without punctuation are no cuts where a source writes so, at whatever length; elsewhere the same lines are."""
+    rng = random.Random(4)
+    line = lambda: "The " + " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(6, 14)))
+    docs = [(i, line(), "bare") for i in range(300)] + [(300 + i, line() + ".", "full") for i in range(300)] + [(600 + i, line(), "full") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r.doc_id for r in truncation.found(df).collect()} == set(range(600, 605))
+
+
+def test_at_a_limit_terminal_punctuation_alone_is_complete(spark):
+    rng = random.Random(6)
+    fill = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    docs = [(i, fill(40 + i) + ".", "s") for i in range(160)]
+    docs += [(1000 + i, fill(300 - len(end)) + end, "s") for i, end in enumerate([" wor", " [truncated]", " more…", " on ...", " (b)", ".", "。", '."', " 12", "!"])]
+    docs += [(2000 + i, "é" * 99 + fill(99) + "x", "t") for i in range(5)] + [(2100 + i, fill(20 + i) + ".", "t") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = {tuple(r)[:4] for r in truncation.limits(truncation.lengths(df)).collect()}
+    assert found == {("s", "text", "chars", 300), ("s", "text", "bytes", 300), ("t", "text", "chars", 199), ("t", "text", "bytes", 298)}
+    assert {r.doc_id for r in truncation.found(df).collect()} == {1000, 1001, 1002, 1003, 1004, 1008, *range(2000, 2005)}
+    of_s = {r.source: r for r in truncation.at_limits(df).collect()}["s"]
+    assert (of_s.n_texts, of_s.n_at_limit, of_s.n_cut_at_limit) == (170, 10, 6)
