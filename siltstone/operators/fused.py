@@ -434,7 +434,10 @@ class Engine:
             got = {"int": to_int, "float": to_float, "bool": to_bool}.get(spec.get("as"), lambda x: x)(v)
         return (default if got is None else got), name
 
-    def event(self, raw: bytes, received: int | None, locator: str | None) -> dict:
+    def event(self, raw: bytes, received: int | None, locator: str | None, wanted: frozenset[str] = frozenset()) -> dict:
+        """The event of a record. With ``wanted`` only what these columns need is worked out; the others may be missing."""
+        whole = not wanted
+        searched = whole or bool(wanted & {"observables", "unmapped", "event_json"})
         text = raw.decode("utf-8", "replace")
         found = next(((p, steps, mapping) for p, steps, mapping in self.packs if claimed(text, p.detect)), None)
         fields: dict[str, str] | None = None
@@ -475,23 +478,23 @@ class Engine:
         else:
             disposition = "extract_failed" if found else "unidentified"
         parsed = disposition == "parsed"
-        sha = hashlib.sha256(raw).hexdigest()
+        sha = hashlib.sha256(raw).hexdigest() if whole or wanted & {"raw_sha256", "event_uid", "event_json"} else ""
         unmapped: dict = {}
         if parsed:
             class_uid, activity, severity = values.pop("class_uid"), values.pop("activity_id"), values.pop("severity_id", 1)
             stated = values.pop("time", None)
             time, source = (stated, "log") if isinstance(stated, int) else (received, "receipt")
-            rest = {k: v for k, v in fields.items() if k not in used and not absent(v)}
+            rest = {k: v for k, v in fields.items() if k not in used and not absent(v)} if searched else {}
         else:
             pri = _PRI.match(text.lstrip())
             level = int(pri.group(1)) % 8 if pri and int(pri.group(1)) <= 191 else None
             class_uid, activity, severity, values, seen = 0, 0, 1 if level is None else _OCSF_SEVERITY[level], {}, []
-            time, source = leading_time(text, self.year)
+            time, source = leading_time(text, self.year) if searched or wanted & {"time", "time_source"} else (None, "receipt")
             time = received if time is None else time
-            rest = generic(text)
+            rest = generic(text) if searched else {}
             unmapped |= {"disposition": disposition, "time_source": source} | ({"reason": error} if error else {}) | ({"syslog_severity": str(level)} if level is not None else {})
         have = {(i, v) for _, i, v in seen}
-        extra = [("raw_data", i, v) for i, v in salvage(text) if (i, v) not in have]
+        extra = [("raw_data", i, v) for i, v in salvage(text) if (i, v) not in have] if searched else []
         if locator:
             unmapped["raw_locator"] = locator
         if extra:
@@ -503,28 +506,31 @@ class Engine:
         digest = hashlib.sha256(f"{locator or ''}\0{sha}".encode()).hexdigest()
         uid = f"{ms[:8]}-{ms[8:]}-7{digest[:3]}-8{digest[3:6]}-{digest[6:18]}"
         pack = found[0] if found else None
-        event = {
-            "class_uid": class_uid, "category_uid": class_uid // 1000, "activity_id": activity, "type_uid": class_uid * 100 + activity, "severity_id": severity, "time": time,
-            "metadata": {"version": VERSION, "product": {"name": pack.product, "vendor_name": pack.vendor} if pack else None, "uid": uid, "log_provider": pack.id if parsed else None, "log_format": pack.log_format if parsed else None, "logged_time": received, "processed_time": self.processed_at},
-            "raw_data": text if self.inline_raw or not parsed else None, "raw_data_size": len(raw), "raw_data_hash": {"algorithm_id": 3, "value": sha},
-        }
-        event = _pruned(event)
-        for path, v in values.items():
-            at = event
-            *parents, leaf = path.split(".")
-            for p in parents:
-                at = at.setdefault(p, {})
-            at[leaf] = v
         observables = [{"name": n, "type_id": i, "value": v} for n, i, v in seen]
-        if observables:
-            event["observables"] = observables
-        if unmapped:
-            event["unmapped"] = unmapped
+        written = None
+        if whole or "event_json" in wanted:
+            event = {
+                "class_uid": class_uid, "category_uid": class_uid // 1000, "activity_id": activity, "type_uid": class_uid * 100 + activity, "severity_id": severity, "time": time,
+                "metadata": {"version": VERSION, "product": {"name": pack.product, "vendor_name": pack.vendor} if pack else None, "uid": uid, "log_provider": pack.id if parsed else None, "log_format": pack.log_format if parsed else None, "logged_time": received, "processed_time": self.processed_at},
+                "raw_data": text if self.inline_raw or not parsed else None, "raw_data_size": len(raw), "raw_data_hash": {"algorithm_id": 3, "value": sha},
+            }
+            event = _pruned(event)
+            for path, v in values.items():
+                at = event
+                *parents, leaf = path.split(".")
+                for p in parents:
+                    at = at.setdefault(p, {})
+                at[leaf] = v
+            if observables:
+                event["observables"] = observables
+            if unmapped:
+                event["unmapped"] = unmapped
+            written = json.dumps(event, ensure_ascii=False, separators=(",", ":"))
         return {
             "event_uid": uid, "text": text, "pack_id": pack.id if pack else None, "vendor": pack.vendor if pack else None, "product": pack.product if pack else None,
             "disposition": disposition, "reason": error, "fields": fields, "class_uid": class_uid, "category_uid": class_uid // 1000, "activity_id": activity,
             "type_uid": class_uid * 100 + activity, "severity_id": severity, "time": time, "time_source": source, "observables": observables, "unmapped": unmapped,
-            "raw_size": len(raw), "raw_sha256": sha, "event_json": json.dumps(event, ensure_ascii=False, separators=(",", ":")),
+            "raw_size": len(raw), "raw_sha256": sha, "event_json": written,
         }
 
 
@@ -541,14 +547,20 @@ _TYPES = {
 }
 
 
-def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = False, processed_at: int | None = None) -> DataFrame:
+def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = False, processed_at: int | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One event per record; see ``operators.normalise.normalise``, whose columns these are (without the nested struct).
 
-    ``raw`` needs the column raw (bytes; null counts as an empty record); missing envelope columns are null, further columns pass through.
+    ``raw`` needs the column raw (bytes; null counts as an empty record); missing envelope
+    columns are null, further columns pass through. With ``columns`` only these columns of the
+    event come out, and only what they need is worked out.
     """
+    types = {c: t for c, t in _TYPES.items() if columns is None or c in columns}
+    if columns is not None and set(columns) - set(_TYPES):
+        raise ValueError(f"no columns of an event: {sorted(set(columns) - set(_TYPES))}")
     have = raw.select(*[(F.col(c) if c in raw.columns else F.lit(None)).cast(t).alias(c) for c, t in ENVELOPE.items()], *[c for c in raw.columns if c not in ENVELOPE and c not in _TYPES])
     kept = [c for c in have.columns if c != "raw"]
-    schema = ", ".join([f"`{c}` {have.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {t[1]}" for c, t in _TYPES.items()])
+    schema = ", ".join([f"`{c}` {have.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {t[1]}" for c, t in types.items()])
+    wanted = frozenset(columns or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = Engine(packs, year, inline_raw, processed_at)
@@ -556,9 +568,9 @@ def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = F
         for batch in batches:
             column = lambda c: batch.column(at[c])  # noqa: B023, E731
             received = [_ns(x) for x in column("received_at").to_pylist()]
-            rows = [engine.event(r or b"", t, loc) for r, t, loc in zip(column("raw").to_pylist(), received, column("locator").to_pylist())]
-            made = [pa.array([list(r[c].items()) if isinstance(r[c], dict) else r[c] for r in rows], t[0]) for c, t in _TYPES.items()]
-            yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], *made], names=[*kept, *_TYPES])
+            rows = [engine.event(r or b"", t, loc, wanted) for r, t, loc in zip(column("raw").to_pylist(), received, column("locator").to_pylist())]
+            made = [pa.array([list(r[c].items()) if isinstance(r[c], dict) else r[c] for r in rows], t[0]) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], *made], names=[*kept, *types])
 
     have_columns = have.columns
     return have.mapInArrow(run, schema)

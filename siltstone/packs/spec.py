@@ -12,6 +12,7 @@ import yaml
 from ..decode import java_pattern
 from ..functions.times import EPOCHS, FORMATS
 from ..functions.values import OBSERVABLE_IDS
+from .layouts import expression
 
 DECODERS = ("syslog", "syslog_rfc3164", "syslog_rfc5424", "keyvalue", "csv", "cef", "leef", "json", "xml", "regex")
 #: Targets that the engine writes itself.
@@ -44,6 +45,18 @@ def _check(ok: bool, pack: str, what: str) -> None:
         raise PackError(f"{pack}: {what}")
 
 
+def _written_out(step: dict, pack: str) -> dict:
+    """A step of line layouts as the step of expressions that it stands for."""
+    if step.get("decoder") != "layout":
+        return step
+    _check(set(step) <= {"decoder", "optional", "lines", "kinds"} and bool(step.get("lines")), pack, "unknown step members of layout, or no lines")
+    try:
+        patterns = [expression(line, step.get("kinds")) for line in step["lines"]]
+    except (ValueError, TypeError) as error:
+        raise PackError(f"{pack}: {error}") from error
+    return {"decoder": "regex", "patterns": patterns} | ({"optional": True} if step.get("optional") else {})
+
+
 def parse_pack(text: str) -> Pack:
     """A pack from its YAML, validated: unknown members, decoders, enums and targets are errors."""
     data = yaml.safe_load(text)
@@ -61,6 +74,7 @@ def parse_pack(text: str) -> Pack:
     _check(bool(extract), name, "extract is empty")
     for d in detect:
         _check(set(d) <= DETECT_KEYS, name, f"unknown detector members {sorted(set(d) - DETECT_KEYS)}")
+    extract = [_written_out(step, name) for step in extract]
     for step in extract:
         _check(step.get("decoder") in DECODERS, name, f"unknown decoder {step.get('decoder')}")
         _check(set(step) <= {"decoder", "optional", "patterns", "delim", "sep", "headers"}, name, f"unknown step members of {step.get('decoder')}")

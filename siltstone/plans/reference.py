@@ -6,6 +6,8 @@ same answer from the columns, so that it shares nothing with the decoders.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,36 +178,69 @@ def identify_priority(spark, d):
     return e.select("event_id", C.identify(line, packs()).alias("pack_id"))
 
 
-def _flows(spark, d) -> DataFrame:
+#: How the connections of the feature table are written as lines: pack, whether it tells the source address, and the line,
+#: with ``{src}`` and so on for the columns (an absent address is ``-``). Connections are spread over them by source port.
+LINES = [
+    ("linux-iptables-firewall", True, "Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC={src} DST={dst} PROTO={proto} SPT={sport} DPT={dport}"),
+    ("linux-iptables-firewall", True, "Mar  3 04:05:06 gate kernel: Drop TCP after 13 attempts IN=br0 OUT=br0 SRC={src} DST={dst} PROTO={proto} SPT={sport} DPT={dport}"),
+    ("fortinet-fortigate-traffic", True, "devname=fw type=traffic srcip={src} dstip={dst} srcport={sport} dstport={dport} proto=6 action=accept"),
+    ("generic-cef-network", True, "CEF:0|Acme|Box|1|1|n|5|src={src} dst={dst} spt={sport} dpt={dport}"),
+    ("squid-proxy-access", True, "1700000000.123     45 {src} TCP_MISS/200 512 GET http://host.example/{sport} - DIRECT/{dst} text/html"),
+    ("apache-access-http", True, '{src} - ann [10/Oct/2025:13:55:36 +0000] "GET /{sport} HTTP/1.1" 200 23'),
+    ("zeek-conn", True, "1700000000.5\tC1\t{src}\t{sport}\t{dst}\t{dport}\ttcp\t-\t1.5\t10\t20\tSF\t-\t0\tShADadFf\t5\t300\t4\t200\t-"),
+    ("pfsense-filterlog", True, "<134>Mar  3 04:05:06 gate filterlog[1]: 5,,,100,em0,match,pass,in,4,0x0,,64,1,0,none,6,tcp,60,{src},{dst},{sport},{dport}"),
+    ("suricata-eve-alert", True, '{"timestamp":"2025-10-11T01:02:03.5+0000","event_type":"alert","src_ip":"{src}","src_port":{sport},"dest_ip":"{dst}","dest_port":{dport},"proto":"{proto}","alert":{"signature":"s","severity":2}}'),
+    ("sendmail-mta", False, "Mar  3 04:05:06 post sendmail[2606]: j2D9FD3X026: from=ann, size={sport}, class=0, relay={dst}"),
+    ("openssh-auth", False, "Mar  3 04:05:06 gate sshd[7]: Failed password for ann from 192.0.2.7 port {sport} ssh2"),
+    ("cisco-asa-network", False, "<166>Oct 10 2018 12:34:56 fw1 : %ASA-6-302013: Built outbound TCP connection 11 for outside:192.0.2.7/53500 to inside:198.51.100.9/{dport}"),
+    ("linux-syslog-host", False, "<30>Jun 14 15:16:01 combo cron[19939]: job {sport} done"),
+    (None, False, "unclaimed {src}"),
+]
+_COLUMNS = {"src": "coalesce(nullif(src_ip, ''), '-')", "dst": "coalesce(nullif(dst_ip, ''), '-')", "proto": "protocol", "sport": "CAST(abs(src_port) AS STRING)", "dport": "CAST(abs(dst_port) AS STRING)"}
+
+
+def _line(template: str) -> str:
+    """SQL, of either engine, for a line."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(_COLUMNS[x] if i % 2 else "'" + x + "'" for i, x in enumerate(parts))
+
+
+_K = f"((src_port % {len(LINES)}) + {len(LINES)}) % {len(LINES)}"
+_LINE = f"CASE {_K} " + " ".join(f"WHEN {k} THEN {_line(line)}" for k, (_, _, line) in enumerate(LINES)) + " END"
+
+
+def _connections(spark, d) -> DataFrame:
     f = table(spark, d, "features").select("event_uid", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "time_ns", "pack_id").distinct()
-    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work per row: not to be coalesced
-    line = F.concat(F.lit("Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC="), "src_ip", F.lit(" DST="), "dst_ip", F.lit(" PROTO="), "protocol", F.lit(" SPT="), _s("src_port"), F.lit(" DPT="), _s("dst_port"))
-    return f.select(F.when(F.col("src_port") % 7 == 0, F.concat(F.lit("unclaimed "), "src_ip")).otherwise(line).cast("binary").alias("raw"), F.col("time_ns").alias("received_at"), "event_uid")
+    return f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work per row: not to be coalesced
 
 
-def _events(spark, d) -> DataFrame:
-    return fused.normalise(_flows(spark, d).drop("event_uid"), packs(), YEAR)
+def _events(spark, d, *wanted: str) -> DataFrame:
+    raw = _connections(spark, d).select(F.expr(_LINE).cast("binary").alias("raw"), F.col("time_ns").alias("received_at"), F.col("event_uid").alias("locator"))
+    return fused.normalise(raw, packs(), YEAR, columns=wanted or None)
 
 
 def flows(spark, d):
-    """Flagship: lines to events, counted by pack, activity and protocol."""
-    return _events(spark, d).where("disposition = 'parsed'").groupBy("pack_id", "activity_id", F.get_json_object("event_json", "$.connection_info.protocol_name").alias("protocol")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.get_json_object("event_json", "$.src_endpoint.ip")).alias("n_src"))
+    """Flagship: lines of thirteen layouts to events, counted by pack and activity."""
+    ev = _events(spark, d, "disposition", "pack_id", "activity_id", "event_json")
+    return ev.where("disposition = 'parsed'").groupBy("pack_id", "activity_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.get_json_object("event_json", "$.src_endpoint.ip")).alias("n_src"))
 
 
 def stats(spark, d):
-    return normalise.stats(_events(spark, d)).select("received", "parsed", "unidentified", "extract_failed", "normalize_failed", "bytes_in", F.round("coverage", 6).alias("coverage"))
+    return normalise.stats(_events(spark, d, "disposition", "observables", "unmapped", "raw_size")).withColumn("coverage", F.round("coverage", 6))
 
 
 def by_pack(spark, d):
-    return normalise.by_pack(_events(spark, d))
+    return normalise.by_pack(_events(spark, d, "disposition", "pack_id"))
 
 
 def dead_letters(spark, d):
-    return normalise.dead_letters(_events(spark, d)).groupBy("disposition", "raw_encoding").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw_text")).alias("chars"))
+    return normalise.dead_letters(_events(spark, d, "text", "disposition", "reason", "pack_id")).groupBy("disposition", "raw_encoding").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw_text")).alias("chars"))
 
 
 def feature_rows(spark, d):
-    f = sinks.feature_table(_events(spark, d).where("disposition = 'parsed'"))
+    line = F.concat(F.lit("Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC="), "src_ip", F.lit(" DST="), "dst_ip", F.lit(" PROTO="), "protocol", F.lit(" SPT="), _s("src_port"), F.lit(" DPT="), _s("dst_port"))
+    raw = _connections(spark, d).select(line.cast("binary").alias("raw"), F.col("time_ns").alias("received_at"), F.col("event_uid").alias("locator"))
+    f = sinks.feature_table(fused.normalise(raw, packs(), YEAR))
     return f.groupBy("src_is_private", "dst_is_private", "hour_of_day", "day_of_week").agg(F.count(F.lit(1)).alias("n"), F.sum("src_port").alias("ports"), F.sum("is_alert").alias("alerts"))
 
 
@@ -323,7 +358,9 @@ def queries():
 _MAPPED = """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 99 END AS BIGINT) AS activity_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000 AS time, CAST(user_id AS VARCHAR) AS "user",
  CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS n, 'over' AS "left", CAST(1 AS INT) AS n_observables FROM events"""
 _FLOW = "(SELECT DISTINCT event_uid, src_ip, dst_ip, src_port, dst_port, protocol, time_ns, pack_id FROM features)"
-_CLAIMED = "src_port % 7 <> 0"
+_ACTIVITY = {"linux-iptables-firewall": 6, "fortinet-fortigate-traffic": 6, "generic-cef-network": 6, "squid-proxy-access": 3, "apache-access-http": 3, "zeek-conn": 6, "pfsense-filterlog": 6, "suricata-eve-alert": 1, "sendmail-mta": 1, "openssh-auth": 1, "cisco-asa-network": 1, "linux-syslog-host": 99}
+_WRITTEN = f"""(SELECT f.*, {_LINE.replace("AS STRING", "AS VARCHAR")} AS line, t.pack_id, t.told, t.activity_id FROM (SELECT DISTINCT event_uid, src_ip, dst_ip, src_port, dst_port, protocol, time_ns, pack_id AS stored_pack FROM features) f
+ JOIN (VALUES {", ".join(f"({k}, {repr(p) if p else 'CAST(NULL AS VARCHAR)'}, {str(told).lower()}, CAST({3 if k == 1 else _ACTIVITY.get(p, 0)} AS BIGINT))" for k, (p, told, _) in enumerate(LINES))}) t(k, pack_id, told, activity_id) ON t.k = {_K})"""
 
 
 def oracle_sql():
@@ -343,16 +380,15 @@ def oracle_sql():
         "mapping": _MAPPED,
         "mapping_columns": _MAPPED,
         "identify_priority": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'checkpoint-firewall' WHEN 1 THEN 'generic-cef-network' WHEN 2 THEN 'fortinet-fortigate-traffic' WHEN 3 THEN 'linux-syslog-host' END AS pack_id FROM events",
-        "flows": f"SELECT 'linux-iptables-firewall' AS pack_id, CAST(6 AS BIGINT) AS activity_id, nullif(protocol, '') AS protocol, count(*) AS n, count(DISTINCT nullif(src_ip, '')) AS n_src FROM {_FLOW} WHERE {_CLAIMED} GROUP BY 3",
-        "stats": f"""SELECT count(*) AS received, count(*) FILTER (c) AS parsed, count(*) FILTER (NOT c) AS unidentified, CAST(0 AS BIGINT) AS extract_failed, CAST(0 AS BIGINT) AS normalize_failed,
- CAST(sum(CASE WHEN c THEN length('Mar  3 04:05:06 gate kernel: INBOUND TCP: IN=br0 PHYSIN=eth0 OUT=br0 SRC= DST= PROTO= SPT= DPT=') + length(src_ip) + length(dst_ip) + length(protocol) + length(src_port::VARCHAR) + length(dst_port::VARCHAR) ELSE length('unclaimed ') + length(src_ip) END) AS BIGINT) AS bytes_in,
- round(count(*) FILTER (c) / count(*), 6) AS coverage FROM (SELECT *, {_CLAIMED} AS c FROM {_FLOW})""",
+        "flows": f"""SELECT pack_id, activity_id, count(*) AS n, count(DISTINCT CASE WHEN told AND src_ip <> '' THEN src_ip WHEN line LIKE '%192.0.2.7%' THEN '192.0.2.7' END) AS n_src FROM {_WRITTEN} WHERE pack_id IS NOT NULL GROUP BY 1, 2""",
+        "by_pack": f"SELECT pack_id, count(*) AS n FROM {_WRITTEN} WHERE pack_id IS NOT NULL GROUP BY 1",
+        "dead_letters": f"SELECT 'unidentified' AS disposition, 'utf-8' AS raw_encoding, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM {_WRITTEN} WHERE pack_id IS NULL",
+        "stats": f"""SELECT count(*) AS received, count(pack_id) AS parsed, count(*) - count(pack_id) AS unidentified, CAST(0 AS BIGINT) AS extract_failed, CAST(0 AS BIGINT) AS normalize_failed, CAST(sum(strlen(line)) AS BIGINT) AS bytes_in,
+ count(*) FILTER (pack_id IS NULL AND src_ip <> '') AS searchable_unidentified, round(count(pack_id) / count(*), 6) AS coverage FROM {_WRITTEN}""",
         "feature_rows": f"""SELECT CAST(p.src_is_private AS BIGINT) AS src_is_private, CAST(p.dst_is_private AS BIGINT) AS dst_is_private, CASE WHEN t > 0 THEN (t // 3600000000000) % 24 ELSE -1 END AS hour_of_day,
  CASE WHEN t > 0 THEN (t // 86400000000000 + 3) % 7 ELSE -1 END AS day_of_week, count(*) AS n, CAST(sum(src_port) AS BIGINT) AS ports, CAST(0 AS BIGINT) AS alerts
- FROM (SELECT *, CASE WHEN abs(time_ns) < 100000000000 THEN time_ns * 1000000000 WHEN abs(time_ns) < 100000000000000 THEN time_ns * 1000000 WHEN abs(time_ns) < 100000000000000000 THEN time_ns * 1000 ELSE time_ns END AS t FROM {_FLOW}) JOIN (SELECT DISTINCT event_uid, src_is_private, dst_is_private FROM features) p USING (event_uid) WHERE {_CLAIMED} GROUP BY 1, 2, 3, 4""",
+ FROM (SELECT *, CASE WHEN abs(time_ns) < 100000000000 THEN time_ns * 1000000000 WHEN abs(time_ns) < 100000000000000 THEN time_ns * 1000000 WHEN abs(time_ns) < 100000000000000000 THEN time_ns * 1000 ELSE time_ns END AS t FROM {_FLOW}) JOIN (SELECT DISTINCT event_uid, src_is_private, dst_is_private FROM features) p USING (event_uid) GROUP BY 1, 2, 3, 4""",
         "chain_tampered": "SELECT event_id % 50 <> 0 AS own_ok, true AS link_ok, count(*) AS n FROM events GROUP BY 1",
-        "by_pack": f"SELECT 'linux-iptables-firewall' AS pack_id, count(*) AS n FROM {_FLOW} WHERE {_CLAIMED}",
-        "dead_letters": f"SELECT 'unidentified' AS disposition, 'utf-8' AS raw_encoding, count(*) AS n, CAST(sum(length('unclaimed ' || src_ip)) AS BIGINT) AS chars FROM {_FLOW} WHERE NOT ({_CLAIMED})",
         "coercions": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || user_id || ' ' WHEN 1 THEN '7.5' WHEN 3 THEN 'Yes' END AS present, CASE WHEN event_id % 4 = 0 THEN user_id END AS as_int, CASE WHEN event_id % 4 = 3 THEN true WHEN event_id % 4 = 0 AND user_id IN (0, 1) THEN user_id = 1 END AS as_bool FROM events",
         "times": """SELECT o_orderkey, epoch(o_orderdate)::BIGINT * 1000000000 AS epoch_s, epoch(o_orderdate)::BIGINT * 1000000000 AS epoch_ms, (epoch(o_orderdate)::BIGINT - 7200) * 1000000000 + 123456789 AS rfc3339,
  epoch(date_trunc('minute', o_orderdate))::BIGINT * 1000000000 AS date_time, epoch(o_orderdate)::BIGINT * 1000000000 AS slash_date_time, (epoch(o_orderdate)::BIGINT + 5400) * 1000000000 AS clf,
