@@ -15,7 +15,7 @@ from .. import decode as D
 from ..decode.salvage import salvage
 from ..functions import values as V
 from ..functions.times import parse_time
-from ..operators import fused, integrity, normalise, onboarding
+from ..operators import clustering, fused, integrity, normalise, onboarding
 from ..packs import compile as C
 from ..packs.spec import load_library, parse_pack
 from ..session import table
@@ -325,12 +325,12 @@ def merkle_level(spark, d):
 
 def clusters(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user "), _s("user_id"), F.lit(" did "), "event_type", F.lit(" with value "), _s("event_id")).alias("text"))
-    return onboarding.cluster(e).select("cluster_id", "n_tokens", F.array_join("template", " ").alias("template"), "n", F.round("specificity", 6).alias("specificity"))
+    return clustering.cluster(e).select("cluster_id", "n_tokens", F.array_join("template", " ").alias("template"), "n", F.round("specificity", 6).alias("specificity"))
 
 
 def cluster_profiles(spark, d):
-    e = table(spark, d, "dead_letters").where("pack is null and raw_text is not null").withColumn("seq", F.xxhash64("locator"))
-    return onboarding.profiles(onboarding.cluster(e, "raw_text"))
+    e = table(spark, d, "dead_letters").where("pack is null").withColumn("seq", F.xxhash64("locator"))
+    return onboarding.profiles(clustering.cluster(e, "raw_text"))
 
 
 def fixture_report(spark, d):

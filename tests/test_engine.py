@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone import decode as D
 from siltstone.decode.salvage import salvage
 from siltstone.functions import values as V
-from siltstone.operators import fused, normalise, onboarding
+from siltstone.operators import clustering, fused, normalise, onboarding
 from siltstone.packs.spec import PackError, load_library, parse_pack
 from siltstone.sources import lines, sinks
 
@@ -78,29 +78,121 @@ def test_bad_packs_are_refused():
             parse_pack(bad)
 
 
-def test_clusters_and_drafts(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_clusters(spark, exact):
     rows = [(i, f"user {i} logged in from host{i % 3}") for i in range(40)] + [(50 + i, "disk full on volume") for i in range(5)] + [(90, None), (91, "  ")]
-    got = onboarding.cluster(spark.createDataFrame(rows, "seq long, text string")).collect()
+    got = clustering.cluster(spark.createDataFrame(rows, "seq long, text string"), exact=exact).collect()
     assert [(r.cluster_id, " ".join(r.template), r.n) for r in got] == [("C0001", "user <*> logged in from <*>", 40), ("C0002", "disk full on volume", 5)]
-    capped = onboarding.cluster(spark.createDataFrame([(i, f"w{i} x{i}") for i in range(9)], "seq long, text string"), cap=3).collect()
-    assert sum(r.n for r in capped) == 9 and [r.n for r in capped if r.cluster_id == "overflow"] == [6]
-    samples = [f"<34>Oct 11 22:14:0{i} box acmefw[1]: action=deny src=10.0.0.{i} dst=10.1.1.1 proto=tcp" for i in range(5)]
-    draft = onboarding.draft(samples, "k")
-    assert draft["identity"]["priority"] == 1000 and draft["map"]["src_endpoint.ip"]["from"] == "src" and onboarding.draft(["a", "b"], "k") is None
-    assert onboarding.profile(samples)["wire_format"] == "syslog-keyvalue" and onboarding.diverse_indices(["aa b", "a", "c d e"], 2) == [1, 0]
-
-
-def test_every_line_has_a_cluster(spark, monkeypatch):
-    lines = [(i, f"w{i} x{i}") for i in range(9)] + [(9, "w8 x8"), (10, "w1 x1")]
-    monkeypatch.setattr(onboarding, "MAX_CLUSTERS", 3)
-    templates = onboarding.Templates()
-    assert [templates.add(text.split(), seq, 1, text) for seq, text in lines] == [*range(9), 8, 1]
-    monkeypatch.setattr(onboarding, "MAX_CLUSTERS", 1000)
+    assert got[0].specificity == 4 / 6 and len(got[0].samples) == 30
+    apart = spark.createDataFrame([(i, f"w{i} x{i}" + " y" * (i % 2)) for i in range(9)], "seq long, text string")
+    capped = clustering.cluster(apart, cap=3, exact=exact).collect()
+    assert sum(r.n for r in capped) == 9 and [(r.n, r.template) for r in capped if r.cluster_id == "overflow"] == [(6, None)] and len(capped) == 4
+    assert clustering.cluster(apart.limit(0), cap=3, exact=exact).count() == 0
     many = spark.createDataFrame([(i, f"w{i} x{i}") for i in range(1100)], "seq long, text string")
-    got = onboarding.cluster(many).collect()
+    got = clustering.cluster(many, exact=exact).collect()
     assert len(got) == 1100 and all(r.template and r.samples and r.n == 1 for r in got)
 
 
+def test_templates_against_a_plain_version():
+    """The first of the most similar templates, at least two of two literals kept."""
+    import random
+
+    def plain(lines):
+        found = []
+        for tokens in lines:
+            best, top = None, 0.4
+            for c in found:
+                same = sum(a in ("<*>", b) for a, b in zip(c, tokens)) / len(tokens)
+                kept = sum(a == b for a, b in zip(c, tokens))
+                if same >= 0.4 and not (sum(a != "<*>" for a in c) >= 2 and kept < 2) and (best is None or same > top):
+                    best, top = c, same
+            if best is None:
+                found.append(list(tokens))
+            else:
+                best[:] = [a if a == b else "<*>" for a, b in zip(best, tokens)]
+        return found
+
+    rng = random.Random(8)
+    for _ in range(60):
+        n = rng.randrange(1, 7)
+        lines = [[rng.choice("abcdef") for _ in range(n)] for _ in range(40)]
+        t = clustering.Templates()
+        for i, tokens in enumerate(lines):
+            t.add(tokens, i, 1, [])
+        assert [c["template"] for c in t.clusters] == plain(lines) and sum(c["n"] for c in t.clusters) == 40
+
+
+def test_shared_by_all(spark):
+    df = spark.createDataFrame([("fw acme deny a acme",), ("acme fw deny b",), (None,)], "text string")
+    assert [tuple(r) for r in clustering.shared_by_all(df, most=2).collect()] == [("acme", 2), ("deny", 2)]
+
+
+SAMPLES = [f"<34>Oct 11 22:14:0{i} box acmefw[1]: action=deny src=10.0.0.{i} dst=10.1.1.1 proto=tcp" for i in range(5)]
+
+
+def test_profiles_and_sampling():
+    got = onboarding.profile(SAMPLES)
+    assert got["wire_format"] == "syslog-keyvalue" and onboarding.diverse_indices(["aa b", "a", "c d e"], 2) == [1, 0]
+    scores = dict((n, s) for s, n in onboarding.family_scores(["squid proxy http GET"]))
+    assert scores["web-or-proxy"] == 10.3 and len(scores) == 9 and onboarding.family(["squid proxy http GET"]) == ("web-or-proxy", 4002, 0.95)
+    assert onboarding.family(["nothing of note"])[0] == "unknown" and onboarding.family(["postgres query"])[:2] == ("database", None)
+    assert onboarding.family(["message-id=<1> smtp"])[0] == "email"
+    cef = onboarding.hypotheses(["CEF:0|Ac\\|me|Box|1|1|n|5|a=b"], "cef")
+    assert [(h["vendor"], h["product"], h["confidence"]) for h in cef] == [("Ac|me", "Box", 0.99)]
+    assert [(h["product"], h["confidence"]) for h in onboarding.hypotheses(["CEF:0"], "cef")] == [("CEF", 0.65)]
+    assert [h["product"] for h in onboarding.hypotheses(["sshd[1]: x %ASA-6-1"], "unstructured")] == ["ASA", "OpenSSH"]
+    assert onboarding.field_names(['{"a": 1, "b": {}}', "x=1 y.z=2 a=3 é=4"]) == ["a", "b", "x", "y.z"] and onboarding.field_names(["1,2,3"]) == ["col.0", "col.1", "col.2"] and onboarding.field_names(["a b"]) == []
+
+
+def test_detectors_fall_back_in_order():
+    assert onboarding.detector(SAMPLES) == (["acmefw[1]:", "<34>Oct", "action="], SAMPLES)
+    logins = ["Jun 15 combo -- ROOT LOGIN ON tty1", "Jun 16 combo -- ROOT LOGIN ON tty2"]
+    assert onboarding.detector(logins)[0] == ["combo -- ROOT LOGIN ON"]
+    mixed = [*logins, "GET / x"]
+    literals, claimed = onboarding.detector(mixed)
+    assert literals == ["combo -- ROOT LOGIN ON"] and claimed == logins
+    assert onboarding.detector(["a b", "c d"]) == ([onboarding.PLACEHOLDER], [])
+    assert onboarding.is_volatile("a123") and onboarding.is_volatile("1:2") and not onboarding.is_volatile("a12") and not onboarding.is_field_key("1.2") and onboarding.is_field_key("src-ip")
+    assert onboarding.slug("[Acme FW]: 9") == "acme-fw-9" and onboarding.suggested_id(SAMPLES, "syslog-keyvalue", "k") == "34-oct-syslog-keyvalue" and onboarding.suggested_id(["a b"], "xml", "k 1") == "unknown-xml-k-1"
+
+
+def test_drafts_checks_and_approval(tmp_path):
+    draft = onboarding.draft(SAMPLES, "k")
+    assert draft["identity"]["priority"] == 1000 and draft["map"]["src_endpoint.ip"]["from"] == "src" and onboarding.draft(["a", "b"], "k") is None
+    ssh = [f"Oct 11 22:14:0{i} box sshd[7]: user=ann{i} login password" for i in range(5)]
+    made = onboarding.draft_from_evidence(ssh, "k")
+    assert (made["identity"]["product"], made["map"]["class_uid"], made["map"]["activity_id"]) == ("OpenSSH", 3002, 0) and made["provenance"]["fixtures_passed"] == 3
+    firewall = onboarding.draft_from_evidence([s + " snort classification alert" for s in SAMPLES], "k")
+    assert firewall["map"]["class_uid"] == 4001 and "src_endpoint.ip" in firewall["map"]  # the class of its family has no endpoints
+    assert onboarding.draft_from_evidence(["a b", "c d"], "k")["identity"]["detect"][0]["contains_all"] == [onboarding.PLACEHOLDER]
+    assert onboarding.unknown_paths({"url": 1, "message": 1}) == ["url"] and not onboarding.class_accepts(2004, "src_endpoint.ip") and onboarding.class_accepts(9, "class_uid")
+    folder = tmp_path / "candidates"
+    manifest = json.loads(open(onboarding.write_drafts([draft | {"records": 5}], str(folder), "in.log", 9)).read())
+    assert manifest["approval_required"] and manifest["records_read"] == 9 and manifest["clusters"][0]["records"] == 5
+    text = open(manifest["clusters"][0]["candidate"]).read()
+    live = tmp_path / "live"
+    live.mkdir()
+    assert onboarding.approve_pack(text, str(live)).endswith(".yaml") and len(list(live.iterdir())) == 1
+    bad = text.replace("class_uid: 4001", "class_uid: 4002", 1)
+    assert not onboarding.check_pack(bad)["ok"] and not onboarding.check_pack("[")["ok"] and not onboarding.check_pack("a: 1")["ok"]
+    with pytest.raises(ValueError):
+        onboarding.approve_pack(bad, str(live))
+    assert len(list(live.iterdir())) == 1 and onboarding.safe_stem("../a b") == "_a_b"
+    with pytest.raises(ValueError):
+        onboarding.safe_stem("..")
+    program = ["python", "-c", f"import sys, json; json.load(sys.stdin); print(open({manifest['clusters'][0]['candidate']!r}).read())"]
+    assert onboarding.sidecar(program)(SAMPLES, "k")["identity"] == draft["identity"] and onboarding.sidecar(["echo", "a: 1"])(SAMPLES, "k") is None
+
+
+def test_coverage_regression_and_values(spark):
+    schema = "corpus string, parsed_share double"
+    got = onboarding.coverage_regression(spark.createDataFrame([("a", 0.99), ("b", 0.5), ("n", 1.0)], schema), spark.createDataFrame([("a", 0.9901), ("b", 0.6), ("c", 1.0)], schema))
+    assert {r.corpus: r.verdict for r in got.collect()} == {"a": "kept", "b": "lost", "c": "missing", "n": "new"}
+    match = onboarding.values_match
+    assert match(1, 1.0) and match(1, "1") and match("x", "x") and not match(True, 1) and not match(True, "True") and not match("1", "01") and match(None, None)
+    assert onboarding.shadowed(PACKS) == []
+
+
 def test_vault_round_trip(spark, tmp_path):
     key = b"0123456789abcdef"
     raw = spark.createDataFrame([(bytearray(f"record {i}\n".encode() * (i % 5)), i) for i in range(50)], "raw binary, seq long")
