@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -234,15 +235,59 @@ def inclusion_path(hashes: list[str], index: int) -> list[str]:
     return path
 
 
-def inclusion_proof(level: DataFrame, index: int, size: int) -> list[str]:
-    """The audit path by look-ups in the levels: one row per level, never the tree."""
-    path = []
+def stored_levels(level: DataFrame, size: int) -> list[DataFrame]:
+    """All levels of a tree from its leaves up, each written once to the shared folder; together twice the leaves."""
+    from ..session import cut
+
+    levels = [cut(level)]
     while size > 1:
-        row = level.where(F.col("idx") == (index ^ 1)).select("h").head()
-        if row:
-            path.append(row.h)
-        level, index, size = next_level(level), index // 2, (size + 1) // 2
-    return path
+        levels.append(cut(next_level(levels[-1])))
+        size = (size + 1) // 2
+    return levels
+
+
+def _nodes(levels: list[DataFrame], wanted: list[tuple[int, int]]) -> dict[tuple[int, int], str]:
+    """The hashes of ``(level, idx)``, in one job over the levels concerned; missing ones are absent."""
+    parts = [levels[k].where(F.col("idx").isin([i for n, i in wanted if n == k])).select(F.lit(k).alias("k"), "idx", "h") for k in sorted({k for k, _ in wanted})]
+    return {(r.k, r.idx): r.h for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+
+
+def inclusion_proof(levels: list[DataFrame], index: int) -> list[str]:
+    """The audit path of a leaf by look-ups in the stored levels: one row per level, never the tree."""
+    wanted = [(k, (index >> k) ^ 1) for k in range(len(levels) - 1)]
+    found = _nodes(levels, wanted)
+    return [found[w] for w in wanted if w in found]
+
+
+def consistency_ranges(old: int, new: int) -> list[tuple[int, int]]:
+    """The nodes ``(level, idx)`` of the RFC 6962 proof between two sizes of a log, in its order.
+
+    Each is the root of a range that begins at a multiple of a power of two no less than its
+    length; levels promote an odd last node, so that a range that ends with the log has one too.
+    """
+    out, start, end, m, whole = [], 0, new, old, True
+    if not 0 < old < new:
+        return []
+    above: list[tuple[int, int]] = []
+    while m != end - start:
+        half = _split(end - start)
+        if m <= half:
+            above.append((start + half, end))
+            end = start + half
+        else:
+            above.append((start, start + half))
+            start, m, whole = start + half, m - half, False
+    for a, b in ([] if whole else [(start, end)]) + above[::-1]:
+        level = (b - a - 1).bit_length()
+        out.append((level, a >> level))
+    return out
+
+
+def consistency_proof(levels: list[DataFrame], old: int, new: int) -> list[str]:
+    """RFC 6962 proof that the log of the first ``old`` leaves is a prefix of the whole, of the stored levels."""
+    wanted = consistency_ranges(old, new)
+    found = _nodes(levels, wanted)
+    return [found[w] for w in wanted]
 
 
 def verify_inclusion(leaf: str, index: int, size: int, path: list[str], root: str) -> bool:
@@ -337,11 +382,38 @@ def resume(checkpoint: dict, stored_leaves: DataFrame, chain: str, authority: st
     return {chain: {"uid": checkpoint["head_uid"], "fingerprint": fingerprint(checkpoint["head"])} | ({"type_uid": checkpoint["head_type_uid"]} if checkpoint.get("head_type_uid") is not None else {})}
 
 
-def proof_bundle(level: DataFrame, size: int, index: int, leaf: str, checkpoint: dict) -> dict:
-    """A self-contained proof that a leaf is in the signed log; refused where the log is not the signed one."""
+def proof_bundle(level: DataFrame, size: int, leaf: str, checkpoint: dict) -> dict:
+    """A self-contained proof that a leaf is in the signed log; refused where the log is not the signed one or has no such leaf."""
     if size != checkpoint["tree_size"] or merkle_root(level) != checkpoint["merkle_root"]:
         raise ValueError("the log is not the one that was signed")
-    return {"leaf": leaf, "leaf_index": index, "tree_size": size, "path": inclusion_proof(level, index, size), "claimed_root": checkpoint["merkle_root"], "checkpoint": checkpoint}
+    at = level.where(F.col("h") == leaf).agg(F.min("idx")).first()[0]
+    if at is None:
+        raise LookupError("no such leaf")
+    return {"leaf": leaf, "leaf_index": at, "tree_size": size, "path": inclusion_proof(stored_levels(level, size), at), "claimed_root": checkpoint["merkle_root"], "checkpoint": checkpoint}
+
+
+def verify_segment(attested: DataFrame, checkpoint: dict, trusted: set[str] | None = None, whole: bool = False) -> list[str]:
+    """What is wrong with the events of one chain and the signed checkpoint that binds their last; nothing if all holds.
+
+    A segment may begin after the chain's first event: its first link is then taken as it is.
+    With ``whole`` the events must be the whole chain.
+    """
+    if not verify_checkpoint(checkpoint, trusted):
+        return ["the signature does not hold or is not trusted"]
+    events = attested.where(F.col("chain_uid") == checkpoint["chain_uid"])
+    first = events.agg(F.min("seq")).first()[0]
+    if first is None:
+        return ["there are no events"]
+    broken = ~F.col("own_ok") | ~F.col("link_ok") & (F.lit(whole) | (F.col("seq") != first))
+    n, n_bad = verify_events(events).agg(F.count(F.lit(1)), F.count_if(broken)).first()
+    head = chain_heads(events).first()
+    kind = events.where(F.col("seq") == head.sequence).select(F.get_json_object("event_json", "$.type_uid").try_cast("bigint")).first()[0]
+    problems = [f"{n_bad} events do not hold"] if n_bad else []
+    if n != checkpoint["sequence"] if whole else n > checkpoint["sequence"]:
+        problems.append("the number of events does not fit the checkpoint")
+    if (head.head_uid, head.head, kind) != (checkpoint["head_uid"], checkpoint["head"], checkpoint.get("head_type_uid")):
+        problems.append("the last event is not the signed one")
+    return problems
 
 
 def check_bundle(bundle: dict, trusted: set[str] | None = None) -> bool:

@@ -91,3 +91,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, found without counting further."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of the session's storage."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import http.client
 import json
 import os
 import socket
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import is_private, locator
+from ..session import table_exists
 
 FEATURE_CONTRACT = "1"
 MAX_DATAGRAM = 65_000
+#: Seconds to connect, and for each transfer.
+CONNECT_S, TRANSFER_S = 5, 10
 
 
 def write_ndjson(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -71,6 +75,51 @@ def to_vault(raw: DataFrame, segment: int, key: bytes | None = None, scheme: str
     return placed.select("segment", "offset", "len", F.crc32("raw").alias("crc32"), stored.alias("raw"), locator(F.col("segment"), F.col("offset"), F.col("len"), scheme).alias("locator"), "seq")
 
 
+def append_vault(raw: DataFrame, path: str, segment: int, key: bytes | None = None) -> DataFrame:
+    """Records ``(raw, seq)`` written as a new segment of a vault; a segment that is there is an error. Returns what was stored, without the bytes."""
+    stored = to_vault(raw, segment, key)
+    target = f"{path}/segment={segment}"
+    if table_exists(raw.sparkSession, target):
+        raise FileExistsError(target)
+    stored.drop("segment", "seq").write.parquet(target)
+    return raw.sparkSession.read.parquet(target).drop("raw").withColumn("segment", F.lit(segment).cast("bigint"))
+
+
+def seal_vault(stored: DataFrame, path: str) -> None:
+    """The index of segments, beside the vault: what ``unseal`` trusts in place of a scan. Segments that have one are left alone."""
+    index = f"{path}-index"
+    columns = stored.select("segment", "offset", "len", "crc32", "locator")
+    if table_exists(stored.sparkSession, index):
+        columns = columns.join(stored.sparkSession.read.parquet(index).select("segment").distinct(), "segment", "left_anti")
+    columns.write.mode("append").parquet(index)
+
+
+def vault_key(passphrase: str, path: str, spark: SparkSession) -> bytes:
+    """The key of a vault: of a passphrase and the vault's salt, which is made with its first key (scrypt)."""
+    name = f"{path}-salt"
+    if table_exists(spark, name):
+        salt = bytes(spark.read.format("binaryFile").load(name).first().content)
+    else:
+        salt = os.urandom(16)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+        out.write(bytearray(salt))
+        out.close()
+    return hashlib.scrypt(passphrase.encode(), salt=salt, n=1 << 14, r=8, p=1, dklen=32)
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """One row per event as a console lists it: uid, product, classification, time, endpoints, disposition, pack and the event itself."""
+    get = lambda path: F.get_json_object("event_json", f"$.{path}")
+    number = lambda path: get(path).try_cast("bigint")
+    return events.select(
+        get("metadata.uid").alias("uid"), get("metadata.product.vendor_name").alias("vendor"), get("metadata.product.name").alias("product"), get("metadata.log_format").alias("log_format"),
+        *[number(c).alias(c) for c in ("class_uid", "activity_id", "type_uid", "severity_id", "time")],
+        get("src_endpoint.ip").alias("src_ip"), number("src_endpoint.port").alias("src_port"), get("dst_endpoint.ip").alias("dst_ip"), number("dst_endpoint.port").alias("dst_port"),
+        "disposition", F.col("pack_id").alias("pack"), "locator", "event_json",
+    )
+
+
 def check_paths(inputs: list[str], outputs: list[str]) -> None:
     """Refuses outputs that are inputs, or one another."""
     real = [os.path.realpath(p) for p in outputs]
@@ -85,8 +134,10 @@ def _post(url: str, body: bytes, headers: dict[str, str]) -> dict:
     parts = urlsplit(url)
     if parts.scheme != "http":
         raise ValueError("http:// only")
-    con = http.client.HTTPConnection(parts.hostname, parts.port or 80, timeout=10)
+    con = http.client.HTTPConnection(parts.hostname, parts.port or 80, timeout=CONNECT_S)
     try:
+        con.connect()
+        con.sock.settimeout(TRANSFER_S)
         con.request("POST", parts.path or "/", body, headers)
         answer = con.getresponse()
         text = answer.read(64 << 10)
@@ -149,3 +200,17 @@ def send_udp(events: DataFrame, host: str, port: int) -> int:
 
     events.select("event_json").foreachPartition(run)
     return dropped.value
+
+
+def fan_out(events: DataFrame, *sinks) -> None:
+    """Events to several sinks, each a function of a data frame; worked out once. All are tried, then the first failure is raised."""
+    from ..session import cut
+
+    stored, failures = cut(events), []
+    for sink in sinks:
+        try:
+            sink(stored)
+        except Exception as error:  # noqa: BLE001
+            failures.append(error)
+    if failures:
+        raise failures[0]

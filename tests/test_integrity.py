@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.functions import ed25519, jcs
 from siltstone.operators import integrity as I
@@ -45,6 +46,32 @@ def test_resume_equals_one_run(spark):
     assert rest == {k: v for k, v in whole.items() if k >= 30}
 
 
+def test_ranges_of_consistency_proofs_are_nodes_of_the_levels():
+    for n in range(1, 40):
+        hs = [I.leaf_hash(bytes([i])) for i in range(n)]
+        levels = [hs]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([I.node_hash(*last[i : i + 2]) if i + 1 < len(last) else last[i] for i in range(0, len(last), 2)])
+        for m in range(1, n + 1):
+            assert [levels[k][i] for k, i in I.consistency_ranges(m, n)] == I.consistency_path(hs, m)
+
+
+def test_segments_are_bound_to_their_checkpoint(spark):
+    attested = I.attest(chained(spark)).cache()
+    chain = attested.first().chain_uid
+    events = attested.where(F.col("chain_uid") == chain)
+    head = I.chain_heads(events).first()
+    n = events.count()
+    sign = lambda **x: I.sign_checkpoint({"chain_uid": chain, "authority_uid": "authority", "sequence": n, "head_uid": head.head_uid, "head_type_uid": 1, "head": head.head, "created_time": 1} | x, b"s" * 32)
+    point = sign()
+    assert I.verify_segment(attested, point, whole=True) == [] and I.verify_segment(attested.where("seq > 20"), point) == []
+    assert I.verify_segment(attested.where("seq > 20"), point, whole=True) and I.verify_segment(attested.where(F.col("seq") < head.sequence), point)
+    assert I.verify_segment(attested, sign(sequence=1)) and I.verify_segment(attested, point | {"sequence": n + 1}) and I.verify_segment(attested, point, {"00"}) and I.verify_segment(attested.limit(0), point)
+    altered = attested.withColumn("event_json", F.when(F.col("seq") == 30, F.replace("event_json", F.lit("ü30"), F.lit("u30"))).otherwise(F.col("event_json")))
+    assert any("hold" in p for c in {r.chain_uid for r in attested.where("seq = 30").collect()} for p in I.verify_segment(altered, sign() if c == chain else sign(chain_uid=c)))
+
+
 def test_every_leaf_and_prefix():
     for n in range(1, 18):
         hs = [I.leaf_hash(bytes([i])) for i in range(n)]
@@ -62,10 +89,16 @@ def test_distributed_root_proof_and_bundle(spark):
     level = I.leaves(df, "i", "r")
     hs = [I.leaf_hash(f"r{i}".encode()) for i in range(37)]
     assert I.merkle_root(level, subtree=4) == I.merkle_root(level) == I.fold(hs) and I.merkle_root(level.limit(0)) == I.EMPTY_ROOT
-    assert I.inclusion_proof(level, 36, 37) == I.inclusion_path(hs, 36)
+    levels = I.stored_levels(level, 37)
+    assert len(levels) == 7 and I.inclusion_proof(levels, 36) == I.inclusion_path(hs, 36) and I.inclusion_proof(levels, 3) == I.inclusion_path(hs, 3)
+    for old in (1, 5, 32, 36, 37):
+        assert I.consistency_proof(levels, old, 37) == I.consistency_path(hs, old)
     point = I.sign_checkpoint({"chain_uid": "c", "authority_uid": "a", "sequence": 36, "head_uid": "e", "head": "h", "merkle_root": I.fold(hs), "tree_size": 37, "created_time": 1}, b"s" * 32)
-    bundle = I.proof_bundle(level, 37, 5, hs[5], point)
+    bundle = I.proof_bundle(level, 37, hs[5], point)
     assert I.check_bundle(bundle) and I.check_bundle(bundle, {point["public_key"]}) and not I.check_bundle(bundle, {"00"}) and not I.check_bundle(bundle | {"leaf": hs[6]})
+    assert bundle["leaf_index"] == 5
+    with pytest.raises(LookupError):
+        I.proof_bundle(level, 37, "00", point)
     with pytest.raises(ValueError):
         I.resume(point, level, "c", "other")
     with pytest.raises(NotImplementedError):
