@@ -24,8 +24,8 @@ def stream_of(peer: str = "peer", origin: str = "origin") -> Column:
 def with_head(raw: DataFrame, block: int = BLOCK) -> DataFrame:
     """``raw`` with ``head_id``: the raw_id of the head of its entry.
 
-    Continuing records before any head of their stream have their own first record's number
-    as head, so that they form an entry without an event and nothing is lost.
+    Continuing records before any head of their stream have the first record of their block as
+    head, so that they form entries without an event, of bounded size, and nothing is lost.
     """
     df = raw.withColumn("_stream", stream_of()).withColumn("_block", F.floor(F.col("raw_id") / block))
     is_head = F.col("event_uid").isNotNull()
@@ -33,9 +33,8 @@ def with_head(raw: DataFrame, block: int = BLOCK) -> DataFrame:
         F.max(F.when(is_head, F.col("raw_id"))).alias("_last"), F.min("raw_id").alias("_first")
     )
     before = W.partitionBy("_stream").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    ever = W.partitionBy("_stream")
     carry = last.select(
-        "_stream", "_block", F.max("_last").over(before).alias("_carried"), F.min("_first").over(ever).alias("_orphan")
+        "_stream", "_block", F.max("_last").over(before).alias("_carried"), F.col("_first").alias("_orphan")
     )
     within = W.partitionBy("_stream", "_block").orderBy("raw_id").rowsBetween(W.unboundedPreceding, 0)
     filled = df.withColumn("_own", F.max(F.when(is_head, F.col("raw_id"))).over(within))

@@ -22,7 +22,7 @@ from ..decode.salvage import MAX_FOUND
 from ..functions.times import EPOCHS
 from ..functions.values import EMPTY_MARKERS, FALSE_WORDS, OBSERVABLE_IDS, TRUE_WORDS
 from ..packs.spec import Pack
-from .normalise import ENVELOPE, VERSION
+from .normalise import ENVELOPE, RECEIPT, VERSION
 
 _MARKERS = frozenset(EMPTY_MARKERS)
 _MON = {m: i + 1 for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
@@ -434,7 +434,7 @@ class Engine:
             got = {"int": to_int, "float": to_float, "bool": to_bool}.get(spec.get("as"), lambda x: x)(v)
         return (default if got is None else got), name
 
-    def event(self, raw: bytes, received: int | None, locator: str | None, wanted: frozenset[str] = frozenset()) -> dict:
+    def event(self, raw: bytes, received: int | None, locator: str | None, wanted: frozenset[str] = frozenset(), receipt: dict | None = None) -> dict:
         """The event of a record. With ``wanted`` only what these columns need is worked out; the others may be missing."""
         whole = not wanted
         searched = whole or bool(wanted & {"observables", "unmapped", "event_json"})
@@ -497,6 +497,8 @@ class Engine:
         extra = [("raw_data", i, v) for i, v in salvage(text) if (i, v) not in have] if searched else []
         if locator:
             unmapped["raw_locator"] = locator
+        if searched and (told := {k: v for k, v in (receipt or {}).items() if v is not None}):
+            unmapped["receipt"] = json.dumps(told, ensure_ascii=False, separators=(",", ":"))
         if extra:
             unmapped["salvaged_count"] = str(len(extra))
         unmapped = {k: str(v) for k, v in ((p[9:], values.pop(p)) for p in [p for p in values if p.startswith("unmapped.")])} | unmapped
@@ -568,7 +570,8 @@ def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = F
         for batch in batches:
             column = lambda c: batch.column(at[c])  # noqa: B023, E731
             received = [_ns(x) for x in column("received_at").to_pylist()]
-            rows = [engine.event(r or b"", t, loc, wanted) for r, t, loc in zip(column("raw").to_pylist(), received, column("locator").to_pylist())]
+            receipts = batch.select(RECEIPT).to_pylist()
+            rows = [engine.event(r or b"", t, loc, wanted, receipt) for r, t, loc, receipt in zip(column("raw").to_pylist(), received, column("locator").to_pylist(), receipts)]
             made = [pa.array([list(r[c].items()) if isinstance(r[c], dict) else r[c] for r in rows], t[0]) for c, t in types.items()]
             yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], *made], names=[*kept, *types])
 

@@ -20,6 +20,10 @@ from .timestamps import _bound, receipt_ns, stated_instant
 VERSION = "1.9.0"
 _NUMBERS = ("class_uid", "activity_id", "severity_id", "time")
 ENVELOPE = {"raw": "binary", "received_at": "bigint", "peer": "string", "transport": "string", "receiver_id": "string", "origin": "string", "locator": "string"}
+#: Members of the envelope that an event's receipt tells, as JSON without those that are absent.
+RECEIPT = ("received_at", "peer", "transport", "receiver_id", "origin")
+#: What the engine itself writes into ``unmapped``.
+STAMPS = ("raw_locator", "receipt", "disposition", "reason", "time_source", "salvaged_count", "syslog_severity")
 _MAP = "map<string,string>"
 
 
@@ -145,8 +149,8 @@ def normalise(raw: DataFrame, packs: list[Pack], year: int, inline_raw: bool = F
     extra = F.filter("_found", lambda f: ~F.exists("_own", lambda o: (o["type_id"] == f["type_id"]) & (o["value"] == f["value"])))
     stamps = F.map_filter(
         F.map_from_arrays(
-            F.array(*[F.lit(k) for k in ("raw_locator", "disposition", "reason", "time_source", "salvaged_count", "syslog_severity")]),
-            F.array(F.col("locator"), F.when(~parsed, F.col("disposition")), F.col("reason"), F.when(~parsed, F.col("time_source")), F.nullif(F.size(extra), F.lit(0)).cast("string"), severity.cast("string")),
+            F.array(*[F.lit(k) for k in STAMPS]),
+            F.array(F.col("locator"), F.nullif(F.to_json(F.struct(*RECEIPT)), F.lit("{}")), F.when(~parsed, F.col("disposition")), F.col("reason"), F.when(~parsed, F.col("time_source")), F.nullif(F.size(extra), F.lit(0)).cast("string"), severity.cast("string")),
         ),
         lambda k, v: v.isNotNull(),
     )
@@ -205,7 +209,7 @@ def dead_letters(events: DataFrame) -> DataFrame:
 def stats(events: DataFrame) -> DataFrame:
     """Received, by disposition, bytes, and the share parsed, of all events; one row also for none."""
     is_ = lambda d: F.count_if(F.col("disposition") == d)
-    searchable = (F.col("disposition") == "unidentified") & ((F.size("observables") > 0) | (F.size(F.map_filter("unmapped", lambda k, v: ~k.isin("raw_locator", "disposition", "reason", "time_source", "salvaged_count", "syslog_severity"))) > 0))
+    searchable = (F.col("disposition") == "unidentified") & ((F.size("observables") > 0) | (F.size(F.map_filter("unmapped", lambda k, v: ~k.isin(*STAMPS))) > 0))
     return events.agg(
         F.count(F.lit(1)).alias("received"), is_("parsed").alias("parsed"), is_("unidentified").alias("unidentified"), is_("extract_failed").alias("extract_failed"),
         is_("normalize_failed").alias("normalize_failed"), F.coalesce(F.sum("raw_size"), F.lit(0)).alias("bytes_in"), F.count_if(searchable).alias("searchable_unidentified"),

@@ -7,6 +7,7 @@ same answer from the columns, so that it shares nothing with the decoders.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from ..functions.times import parse_time
 from ..operators import clustering, fused, integrity, normalise, onboarding
 from ..packs import compile as C
 from ..packs.spec import load_library, parse_pack
-from ..session import table
-from ..sources import sinks
+from ..session import scratch, table
+from ..sources import lines, sinks
 
 YEAR = 2025
 _PACKS: list = []
@@ -66,7 +67,7 @@ def csv_positional(spark, d):
 
 
 def csv_quoted(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull())
+    t = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     line = F.concat(_s("doc_id"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",end'))
     return _decoded(t, line, D.csv_decoder, ["doc_id"]).select("doc_id", _get("f", "col.1").alias("text"), _get("f", "col.2").alias("tail"))
 
@@ -273,7 +274,9 @@ def locators(spark, d):
 
 
 def raw_hash(spark, d):
-    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    """Size and digest of every record, a null one as empty."""
+    raw = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return fused.normalise(raw, [], YEAR, columns=("raw_sha256", "raw_size")).select("doc_id", F.col("raw_sha256").alias("sha256"), F.col("raw_size").alias("n_bytes"))
 
 
 def private_flags(spark, d):
@@ -305,8 +308,8 @@ def chain_verify(spark, d):
 
 
 def chain_tampered(spark, d):
-    """Chains of which every event with a number divisible by 50 was altered after the fact."""
-    attested = integrity.attest(_chained(spark, d))
+    """Chains of which every event with a number divisible by 50 was altered after the fact, and every one divisible by 70 taken out."""
+    attested = integrity.attest(_chained(spark, d)).where("seq % 70 <> 0")
     altered = attested.withColumn("event_json", F.when(F.col("seq") % 50 == 0, F.replace("event_json", F.lit('"message":"'), F.lit('"message":"x'))).otherwise(F.col("event_json")))
     return integrity.verify_events(altered).groupBy("own_ok", "link_ok").agg(F.count(F.lit(1)).alias("n"))
 
@@ -324,8 +327,10 @@ def merkle_level(spark, d):
 
 
 def clusters(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user "), _s("user_id"), F.lit(" did "), "event_type", F.lit(" with value "), _s("event_id")).alias("text"))
-    return clustering.cluster(e).select("cluster_id", "n_tokens", F.array_join("template", " ").alias("template"), "n", F.round("specificity", 6).alias("specificity"))
+    """Lines of three lengths, of which each is one shape."""
+    text = F.concat("event_type", F.lit(" by user "), _s("user_id"), F.lit(" no "), _s("event_id"), F.repeat(F.lit(" pad"), (F.col("event_id") % 3).cast("int")))
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), text.alias("text"))
+    return clustering.cluster(e).select("cluster_id", "n_tokens", "first_seq", F.array_join("template", " ").alias("template"), "n", F.round("specificity", 6).alias("specificity"))
 
 
 def cluster_profiles(spark, d):
@@ -339,14 +344,29 @@ def fixture_report(spark, d):
 
 def recent(spark, d):
     """The last 500 by order of arrival: a top-k report."""
-    return table(spark, d, "raw_events").orderBy(F.desc("raw_id")).limit(500).select("raw_id", "locator", "transport")
+    return lines.recent(table(spark, d, "raw_events"), "raw_id", 500).select("raw_id", "locator", "transport")
+
+
+def event_rows(spark, d):
+    """What a console lists of every recent event."""
+    stored = table(spark, d, "recent_events").select("locator", "disposition", F.col("pack").alias("pack_id"), "event_json").distinct()
+    return sinks.summary(stored).select("locator", "pack", "disposition", "uid", "class_uid", "type_uid", "severity_id", "src_ip", "dst_port")
+
+
+def vault_index(spark, d):
+    """Records stored in two segments, one sealed: what recovery finds."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").cast("binary").alias("raw"), F.col("o_orderkey").alias("seq"))
+    path = f"{scratch(spark, 'vault')}/records"
+    sinks.seal_vault(sinks.append_vault(o.where("seq % 2 = 0"), path, 0), path)
+    sinks.append_vault(o.where("seq % 2 = 1"), path, 1)
+    return lines.unseal(spark, path).groupBy("segment", "sealed").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("offset") + F.col("len")).alias("bytes"))
 
 
 QUERIES = {
     f.__name__: f for f in (
         kv_decode, kv_quoted, csv_positional, csv_quoted, syslog_bsd, syslog_ietf, cef_decode, leef_decode, json_flatten, xml_flatten, regex_alternatives, generic_pairs, salvage_found,
         mapping, mapping_columns, identify_priority, flows, stats, by_pack, dead_letters, feature_rows, coercions, times, locators, raw_hash, private_flags, templates, vault_offsets,
-        chain_verify, chain_tampered, merkle, merkle_level, clusters, cluster_profiles, fixture_report, recent,
+        chain_verify, chain_tampered, merkle, merkle_level, clusters, cluster_profiles, fixture_report, recent, event_rows, vault_index,
     )
 }
 
@@ -358,6 +378,14 @@ def queries():
 _MAPPED = """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 99 END AS BIGINT) AS activity_id, CAST(floor(epoch(ts)) AS BIGINT) * 1000000000 AS time, CAST(user_id AS VARCHAR) AS "user",
  CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS n, 'over' AS "left", CAST(1 AS INT) AS n_observables FROM events"""
 _FLOW = "(SELECT DISTINCT event_uid, src_ip, dst_ip, src_port, dst_port, protocol, time_ns, pack_id FROM features)"
+
+
+def _crc(*texts: str) -> str:
+    return " ".join(f"WHEN '{t}' THEN {zlib.crc32(t.encode())}" for t in texts)
+
+
+_SALVAGED = """SELECT CAST(2 AS INT) AS type_id, CAST(sum(len(list_distinct(list_filter([src_ip, dst_ip], lambda x: x <> '')))) AS BIGINT) AS n, (SELECT count(DISTINCT x) FROM (SELECT src_ip AS x FROM features UNION SELECT dst_ip FROM features) WHERE x <> '') AS n_values FROM features
+ UNION ALL SELECT unnest([5, 6]), count(*), 1 FROM features"""
 _ACTIVITY = {"linux-iptables-firewall": 6, "fortinet-fortigate-traffic": 6, "generic-cef-network": 6, "squid-proxy-access": 3, "apache-access-http": 3, "zeek-conn": 6, "pfsense-filterlog": 6, "suricata-eve-alert": 1, "sendmail-mta": 1, "openssh-auth": 1, "cisco-asa-network": 1, "linux-syslog-host": 99}
 _WRITTEN = f"""(SELECT f.*, {_LINE.replace("AS STRING", "AS VARCHAR")} AS line, t.pack_id, t.told, t.activity_id FROM (SELECT DISTINCT event_uid, src_ip, dst_ip, src_port, dst_port, protocol, time_ns, pack_id AS stored_pack FROM features) f
  JOIN (VALUES {", ".join(f"({k}, {repr(p) if p else 'CAST(NULL AS VARCHAR)'}, {str(told).lower()}, CAST({3 if k == 1 else _ACTIVITY.get(p, 0)} AS BIGINT))" for k, (p, told, _) in enumerate(LINES))}) t(k, pack_id, told, activity_id) ON t.k = {_K})"""
@@ -368,7 +396,7 @@ def oracle_sql():
         "kv_decode": "SELECT event_id, CAST(event_id AS VARCHAR) AS \"user\", event_type AS type FROM events",
         "kv_quoted": "SELECT p_partkey, p_name || ' \"q\"' AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part",
         "csv_positional": "SELECT c_custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, '' AS empty, c_mktsegment AS segment, '5' AS n FROM customer",
-        "csv_quoted": "SELECT doc_id, text, 'end' AS tail FROM documents WHERE text IS NOT NULL",
+        "csv_quoted": "SELECT doc_id, coalesce(text, '') AS text, 'end' AS tail FROM documents",
         "syslog_bsd": "SELECT o_orderkey, CAST((o_orderkey % 192) // 8 AS VARCHAR) AS facility, CAST((o_orderkey % 192) % 8 AS VARCHAR) AS severity, 'host-' || o_custkey AS hostname, 'app' AS appname, CAST(o_orderkey AS VARCHAR) AS procid, o_orderpriority AS body FROM orders",
         "syslog_ietf": "SELECT o_orderkey, CAST((o_orderkey % 192) % 8 AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS appname, CAST(o_custkey AS VARCHAR) AS procid, o_orderstatus AS st, 'x y' AS pr, o_orderpriority AS body FROM orders",
         "cef_decode": "SELECT s_suppkey, 'A|B' AS vendor, s_name AS product, 'eq=ual and more' AS msg, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier",
@@ -388,13 +416,27 @@ def oracle_sql():
         "feature_rows": f"""SELECT CAST(p.src_is_private AS BIGINT) AS src_is_private, CAST(p.dst_is_private AS BIGINT) AS dst_is_private, CASE WHEN t > 0 THEN (t // 3600000000000) % 24 ELSE -1 END AS hour_of_day,
  CASE WHEN t > 0 THEN (t // 86400000000000 + 3) % 7 ELSE -1 END AS day_of_week, count(*) AS n, CAST(sum(src_port) AS BIGINT) AS ports, CAST(0 AS BIGINT) AS alerts
  FROM (SELECT *, CASE WHEN abs(time_ns) < 100000000000 THEN time_ns * 1000000000 WHEN abs(time_ns) < 100000000000000 THEN time_ns * 1000000 WHEN abs(time_ns) < 100000000000000000 THEN time_ns * 1000 ELSE time_ns END AS t FROM {_FLOW}) JOIN (SELECT DISTINCT event_uid, src_is_private, dst_is_private FROM features) p USING (event_uid) GROUP BY 1, 2, 3, 4""",
-        "chain_tampered": "SELECT event_id % 50 <> 0 AS own_ok, true AS link_ok, count(*) AS n FROM events GROUP BY 1",
+        "chain_tampered": """SELECT event_id % 50 <> 0 AS own_ok, before IS NULL OR before % 70 <> 0 AS link_ok, count(*) AS n
+ FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS before FROM events) WHERE event_id % 70 <> 0 GROUP BY 1, 2""",
+        "clusters": """SELECT printf('C%04d', row_number() OVER (ORDER BY min(event_id))) AS cluster_id, CAST(6 + event_id % 3 AS INT) AS n_tokens, min(event_id) AS first_seq,
+ '<*> by user <*> no <*>' || repeat(' pad', CAST(event_id % 3 AS INT)) AS template, count(*) AS n, round((3 + event_id % 3) / (6 + event_id % 3), 6) AS specificity FROM events GROUP BY event_id % 3""",
+        "event_rows": """SELECT DISTINCT locator, pack, disposition, j->>'$.metadata.uid' AS uid, try_cast(j->>'$.class_uid' AS BIGINT) AS class_uid, try_cast(j->>'$.type_uid' AS BIGINT) AS type_uid,
+ try_cast(j->>'$.severity_id' AS BIGINT) AS severity_id, j->>'$.src_endpoint.ip' AS src_ip, try_cast(j->>'$.dst_endpoint.port' AS BIGINT) AS dst_port FROM (SELECT locator, pack, disposition, event_json::JSON AS j FROM recent_events)""",
+        "vault_index": "SELECT o_orderkey % 2 AS segment, o_orderkey % 2 = 0 AS sealed, count(*) AS n, CAST(sum(strlen(o_orderpriority)) AS BIGINT) AS bytes FROM orders GROUP BY 1, 2",
+        "vault_offsets": f"""SELECT o_orderkey AS seq, o AS "offset", n AS len, CASE o_orderpriority {_crc("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")} END AS crc32,
+ 'vault:raw:' || lpad(lower(to_hex(3)), 16, '0') || ':' || lpad(lower(to_hex(o)), 16, '0') || ':' || lpad(lower(to_hex(n)), 8, '0') AS locator
+ FROM (SELECT *, CAST(strlen(o_orderpriority) AS BIGINT) AS n, CAST(coalesce(sum(strlen(o_orderpriority)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM orders)""",
+        "fixture_report": f"SELECT * FROM (VALUES {', '.join(f'({p.id!r}, {len(p.fixtures)}, {len(p.fixtures)}, {a}, {a})' for p in packs() for a in [sum(len(f.get('expect') or {}) for f in p.fixtures)])}) t(pack, fixtures, passed, assertions, assertions_passed)",
+        "merkle": """WITH RECURSIVE t AS (SELECT 0 AS k, row_number() OVER (ORDER BY raw_id) - 1 AS i, sha256('\\x00'::BLOB || coalesce(raw, ''::BLOB)) AS h, count(*) OVER () AS n FROM raw_events
+ UNION ALL SELECT k + 1, i // 2, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(max(h) FILTER (i % 2 = 0)) || unhex(max(h) FILTER (i % 2 = 1))) ELSE max(h) END, (n + 1) // 2 FROM t WHERE n > 1 GROUP BY k, i // 2, n)
+ SELECT h AS root, (SELECT count(*) FROM raw_events) AS n FROM t WHERE n = 1""",
+        "salvage_found": f"SELECT * FROM ({_SALVAGED})",
         "coercions": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || user_id || ' ' WHEN 1 THEN '7.5' WHEN 3 THEN 'Yes' END AS present, CASE WHEN event_id % 4 = 0 THEN user_id END AS as_int, CASE WHEN event_id % 4 = 3 THEN true WHEN event_id % 4 = 0 AND user_id IN (0, 1) THEN user_id = 1 END AS as_bool FROM events",
         "times": """SELECT o_orderkey, epoch(o_orderdate)::BIGINT * 1000000000 AS epoch_s, epoch(o_orderdate)::BIGINT * 1000000000 AS epoch_ms, (epoch(o_orderdate)::BIGINT - 7200) * 1000000000 + 123456789 AS rfc3339,
  epoch(date_trunc('minute', o_orderdate))::BIGINT * 1000000000 AS date_time, epoch(o_orderdate)::BIGINT * 1000000000 AS slash_date_time, (epoch(o_orderdate)::BIGINT + 5400) * 1000000000 AS clf,
  (epoch(make_date(2024, month(o_orderdate)::INT, day(o_orderdate)::INT)::TIMESTAMP)::BIGINT + 1) * 1000000000 AS rfc3164, CAST(NULL AS BIGINT) AS bad FROM orders""",
         "locators": "SELECT l_orderkey, l_linenumber, 'vault:raw:' || lpad(lower(to_hex(l_orderkey)), 16, '0') || ':' || lpad(lower(to_hex(l_partkey)), 16, '0') || ':' || lpad(lower(to_hex(l_linenumber)), 8, '0') AS locator, l_partkey AS back FROM lineitem",
-        "raw_hash": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL",
+        "raw_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
         "chain_verify": "SELECT 'chain-' || (user_id % 20) AS chain_uid, count(*) AS n_events, CAST(0 AS BIGINT) AS n_bad, true AS ok FROM events GROUP BY 1",
         "merkle_level": """WITH l AS (SELECT c_custkey - 1 AS i, sha256('\\x00'::BLOB || encode(c_name)) AS h FROM customer)
  SELECT a.i // 2 AS idx, CASE WHEN b.h IS NULL THEN a.h ELSE sha256('\\x01'::BLOB || unhex(a.h) || unhex(b.h)) END AS h FROM l a LEFT JOIN l b ON b.i = a.i + 1 WHERE a.i % 2 = 0""",
