@@ -5,7 +5,8 @@ not met yet in DuckDB. A recursive query holds token-position rows, joins neighb
 with the merge table, contracts the minimum-rank pair of every word (all of its occurrences
 from the left that do not overlap, which is what contracting the leftmost again and again
 comes to, a merge only ever enabling later ranks) and recurs on the words that changed; an
-ordered aggregation reads off the ids. No shuffle: rows are encoded where they are read.
+ordered aggregation reads off the ids. Another decodes them again. No shuffle: rows are encoded
+where they are read.
 
 A null or empty text has no ids (an empty list).
 """
@@ -142,3 +143,51 @@ def encode_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_i
 
     narrow = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def load_tokens(path: str) -> pa.Table:
+    """``(tok, bytes)`` of a byte-level BPE file, the bytes as hexadecimal digits; special tokens are their text."""
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    letters = _byte_letters()
+    special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
+    of = {i: "".join(f"{letters[c]:02x}" for c in token) for token, i in data["model"]["vocab"].items() if token not in special}
+    of |= {i: text.encode().hex() for text, i in special.items()}
+    return pa.table({"tok": pa.array(list(of), pa.int32()), "bytes": pa.array(list(of.values()), pa.string())})
+
+
+DECODE = "SELECT d, string_agg(t.bytes, '' ORDER BY pos) AS bytes FROM placed JOIN tokens t USING (tok) GROUP BY d"
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``(doc_id, text)`` of every list of ids; null and empty lists are empty texts, bytes that are not UTF-8 are replaced.
+
+    An id that the vocabulary has not is an error.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(load_tokens(vocabulary))  # the vocabulary: a fixed size
+    kind = encoded.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        con.register("token_source", shared.value)
+        con.execute("CREATE TABLE tokens AS SELECT * FROM token_source")
+        known = set(shared.value.column("tok").to_pylist())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = [x or [] for x in part.column(1).to_pylist()]
+                if unknown := {i for ids in lists for i in ids} - known:
+                    raise ValueError(f"ids without a token: {sorted(unknown)[:5]}")
+                placed = pa.table({
+                    "d": pa.array([d for d, ids in enumerate(lists) for _ in ids], pa.int32()), "pos": pa.array([p for ids in lists for p in range(len(ids))], pa.int32()), "tok": pa.array([i for ids in lists for i in ids], pa.int32()),
+                })
+                con.register("placed", placed)
+                texts = [""] * part.num_rows
+                for d, digits in con.execute(DECODE).fetchall():
+                    texts[d] = bytes.fromhex(digits).decode("utf-8", "replace")
+                con.unregister("placed")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    narrow = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, text string")

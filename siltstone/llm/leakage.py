@@ -136,3 +136,58 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame
 def scrub(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
     """``documents`` without those that hold a passage of an item."""
     return documents.join(leaks(documents, items, n).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def word_places(text: str) -> list[tuple[int, int]] | None:
+    """Where in ``text`` each of its normalised words stands, or None where that can not be told.
+
+    The text is normalised piece by piece, a letter with its marks at a time; it can not be
+    told where the pieces together are not the normalised whole.
+    """
+    import regex
+
+    out, places = [], []
+    for piece in regex.finditer(r"\X", text):
+        norm = unicodedata.normalize("NFKC", piece.group().translate(_DROPPED)).lower()
+        out.append(norm)
+        places += [(piece.start(), piece.end())] * len(norm)
+    whole = "".join(out)
+    if whole != unicodedata.normalize("NFKC", text.translate(_DROPPED)).lower():
+        return None
+    return [(places[w.start()][0], places[w.end() - 1][1]) for w in regex.finditer(r"[\p{L}\p{N}]+", whole)]
+
+
+def without_passages(text: str | None, runs: list[tuple[int, int]]) -> str | None:
+    """``text`` without the words of ``runs`` and what stands between them; empty where their places can not be told."""
+    if not text or not runs:
+        return text
+    places = word_places(text)
+    if places is None:
+        return ""
+    out, at = [], 0
+    for a, b in sorted(runs):
+        start, end = places[a][0], places[b - 1][1]
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def scrub_passages(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """``(doc_id, text, n_removed)``: every document, the passages that it shares with an item cut out; n_removed are the words taken."""
+    runs = leaked_spans(documents, items, n).groupBy("doc_id").agg(F.collect_set(F.struct("from_word", "to_word")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
+            cut, taken = [], []
+            for text, spans_ in zip(texts, found):
+                pairs = [(s["from_word"], s["to_word"]) for s in spans_ or []]
+                cut.append(without_passages(text, pairs))
+                taken.append(len({w for a, b in pairs for w in range(a, b)}))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cut, pa.string()), pa.array(taken, pa.int64())], names=["doc_id", "text", "n_removed"])
+
+    # few documents have passages: the others keep their text without a round trip through Python
+    joined = documents.select("doc_id", "text").join(runs, "doc_id", "left")
+    clean = joined.where(F.col("runs").isNull()).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_removed"))
+    return clean.unionByName(joined.where(F.col("runs").isNotNull()).mapInArrow(run, "doc_id bigint, text string, n_removed bigint"))

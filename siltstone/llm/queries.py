@@ -32,8 +32,10 @@ def queries():
         "p2_runs": lambda s, d: bitmaps.cube_of_runs(_halves(table(s, d, "features"))),
         "p2_returning": lambda s, d: bitmaps.returning(table(s, d, "features")),
         "p8_ids": lambda s, d: bpe.encode_documents(table(s, d, "documents"), vocabulary_path()),
+        "p8_texts": lambda s, d: bpe.decode_documents(bpe.encode_documents(table(s, d, "documents"), vocabulary_path()), vocabulary_path()),
         "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leakage.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_scrubbed": lambda s, d: leakage.scrub_passages(table(s, d, "documents"), table(s, d, "eval_items")),
         "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
         "p10_lengths": lambda s, d: truncation.lengths(table(s, d, "documents")),
         "p10_limits": lambda s, d: truncation.limits(truncation.lengths(table(s, d, "documents"))),
@@ -60,6 +62,7 @@ def oracle_sql():
   (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND abs(o.length - l.length) BETWEEN 4 AND 40) / 74 AS density,
   (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND o.length > l.length + 3) AS above FROM l)
  SELECT source, "column", measure, length, n FROM w WHERE n >= 5 AND n >= 0.01 * total AND n >= 5 * density AND above <= 0.02 * total""",
+        "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_distinct": _CUBE,
         "p2_runs": _CUBE,
         "p2_returning": """WITH o AS (SELECT DISTINCT CAST(floor(epoch_seconds / 86400) AS INT) AS day, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''

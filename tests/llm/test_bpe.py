@@ -48,3 +48,14 @@ def test_documents(spark):
     got = {r.doc_id: r.ids for r in bpe.encode_documents(df, PATH).collect()}
     assert got[0] == [] and got[9] == [] and len(got) == len(TEXTS) and got[2][0] == 15496
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_decoded_documents_are_the_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    encoded = bpe.encode_documents(docs, PATH)
+    assert {r.doc_id: r.text for r in bpe.decode_documents(encoded, PATH).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {tuple(r) for r in bpe.decode_documents(odd, PATH).collect()} == {(1, ""), (2, "")}
+    with pytest.raises(Exception, match="without a token"):
+        bpe.decode_documents(spark.createDataFrame([(1, [10_000_000])], odd.schema), PATH).collect()
+    assert bpe.decode_documents(odd.limit(0), PATH).count() == 0

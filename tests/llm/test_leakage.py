@@ -50,3 +50,15 @@ def test_spans_by_join_are_those_by_broadcast(spark, monkeypatch):
     got = leakage.leaked_spans(docs, items)
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 5
     assert got.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("from_word", "int"), ("to_word", "int")]
+
+
+def test_passages_are_cut_out_of_the_text(spark):
+    item = "One two three four five six seven eight nine ten eleven."
+    texts = [f"Before it. {item} After it.", "Ｏne\u200b two, THREE four\u00ad five—six (seven) eight nine ten! Rest.", "nothing of it", None, "", item, "ﬁrst " + item[:-1].replace("o", "o\u0323") + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in leakage.scrub_passages(docs, items).collect()}
+    assert got == {0: ("Before it. . After it.", 11), 1: ("! Rest.", 10), 2: ("nothing of it", 0), 3: (None, 0), 4: ("", 0), 5: (".", 11), 6: (texts[6], 0)}
+    left = spark.createDataFrame([(k, v[0]) for k, v in got.items()], "doc_id long, text string")
+    assert leakage.leaks(left, items).count() == 0 and leakage.scrub_passages(docs.limit(0), items).count() == 0
+    assert leakage.word_places("a\u0301b c") == [(0, 3), (4, 5)]
