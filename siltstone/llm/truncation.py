@@ -22,12 +22,15 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A limit holds at least this share of its source's texts and this many,
 SPIKE_SHARE, SPIKE_COUNT = 0.01, 5
 #: is this many times as frequent as the mean of the lengths within REACH around it,
@@ -62,6 +65,7 @@ class Endings:
         self.digits = regex.compile(r"\d+").sub
         self.letters = regex.compile(r"[^\W\d_]+").sub
         self.compound = regex.compile(r"\w[^\w\s]+\w|\d").search
+        self.masked: dict[str, str] = {}
 
     def kind(self, line: str) -> str:
         """How a line begins: ``prose`` or ``short`` with a letter, else its first character (9 for a digit, a blank for white space)."""
@@ -70,12 +74,23 @@ class Endings:
             return "short" if len(line.split(None, FEW_WORDS)) <= FEW_WORDS else "prose"
         return "9" if first.isdigit() else " " if first.isspace() else first
 
+    def mask(self, word: str) -> str:
+        """A word in lower case; in names, numbers and addresses letters and digits are masked."""
+        found = self.masked.get(word)
+        if found is None:
+            low = word.lower()
+            found = self.digits("9", self.letters("a", low)) if self.compound(low) else low
+            if len(word) < 40:
+                if len(self.masked) > 200_000:
+                    self.masked.clear()
+                self.masked[word] = found
+        return found
+
     def words(self, line: str) -> list[str]:
-        """The words of a line in lower case; in names, numbers and addresses letters and digits are masked."""
-        return [self.digits("9", self.letters("a", w)) if self.compound(w) else w for w in line.lower().split()]
+        return [self.mask(w) for w in line.split()]
 
     def key(self, line: str) -> str:
-        return " ".join(self.words(line)[-2:])
+        return " ".join([self.mask(w) for w in line.rsplit(None, 2)[-2:]])
 
     def closed(self, line: str) -> bool:
         """Whether a line ends by closing a bracket or double quote, and leaves none open."""
@@ -141,51 +156,74 @@ class Passed:
                 before = word
 
 
-def line_endings(documents: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """``(kind, key, n_stop, n_past)`` of ``keys``: how often a line that another line follows ends so, and how often a line goes on past it, every distinct text counted once."""
+def _counted(documents: DataFrame, keys: list[tuple[str, str]], name: str, counter) -> DataFrame:
+    """``(kind, key, <name>)`` of ``keys``: what ``counter(lines, keys)`` counts in each text, every distinct text taken once."""
     shared = documents.sparkSession.sparkContext.broadcast(keys)
+    types = (pa.binary(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, passed = Endings(), Passed(shared.value)
+        count = counter(shared.value)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text in batch.column(0).to_pylist():
-                stops: Counter = Counter()
-                past: Counter = Counter()
-                lines = [x.rstrip() for x in (text or "").rstrip().splitlines()]
-                for i, line in enumerate(lines):
-                    if not line:
-                        continue
-                    kind, words = ends.kind(line), ends.words(line)
-                    past.update(passed.past(words, kind))
-                    # the last line is counted with the last lines; running text may be wrapped anywhere but at the end of a paragraph
-                    if i < len(lines) - 1 and (kind != "prose" or not lines[i + 1]):
-                        found = kind, " ".join(words[-2:])
-                        if found in passed.keys:
-                            stops[found] += 1
-                own = text_id(text)
-                for found in {**stops, **past}:
-                    for column, x in zip(out, (own, *found, stops[found], past[found])):
-                        column.append(x)
-            types = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["text_id", "kind", "key", "n_stop", "n_past"])
-
-    of_text = documents.select("text").mapInArrow(run, "text_id binary, kind string, key string, n_stop bigint, n_past bigint")
-    of_text = of_text.groupBy("text_id", "kind", "key").agg(F.max("n_stop").alias("n_stop"), F.max("n_past").alias("n_past"))
-    return of_text.groupBy("kind", "key").agg(F.sum("n_stop").alias("n_stop"), F.sum("n_past").alias("n_past"))
-
-
-def stops(documents: DataFrame, ended: DataFrame) -> DataFrame:
-    """``line_endings`` of all open endings in ``ended``, in as many passes as they need."""
-    asked = ended.where(F.col("ending") == "open").select("kind", "key").distinct()
+                found = count([x.rstrip() for x in (text or "").rstrip().splitlines()])
+                if found:
+                    own = text_id(text)
+                    for (kind, key), n in found.items():
+                        for column, x in zip(out, (own, kind, key, n)):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["text_id", "kind", "key", name])
+
+    of_text = documents.select("text").mapInArrow(run, f"text_id binary, kind string, key string, {name} bigint")
+    return of_text.groupBy("text_id", "kind", "key").agg(F.max(name).alias(name)).groupBy("kind", "key").agg(F.sum(name).alias(name))
+
+
+def _stop_counter(keys: list[tuple[str, str]]):
+    """How often a line that another follows ends so. Running text may be wrapped anywhere but at the end of a paragraph."""
+    ends, asked = Endings(), set(keys)
+    kinds = {kind for kind, _ in keys}
+
+    def count(lines: list[str]) -> Counter:
+        found: Counter = Counter()
+        for line, after in zip(lines, lines[1:]):
+            if line and (kind := ends.kind(line)) in kinds and (kind != "prose" or not after) and (kind, (key := ends.key(line))) in asked:
+                found[kind, key] += 1
+        return found
+
+    return count
+
+
+def _past_counter(keys: list[tuple[str, str]]):
+    """How often a line goes on past an ending."""
+    ends, passed = Endings(), Passed(keys)
+    kinds = {like for kind, _ in keys for like in (("short", "prose") if kind in ("short", "prose") else (kind,))}
+
+    def count(lines: list[str]) -> Counter:
+        found: Counter = Counter()
+        for line in lines:
+            if line and (kind := ends.kind(line)) in kinds:
+                found.update(passed.past(ends.words(line), kind))
+        return found
+
+    return count
+
+
+def stops(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(kind, key, n_stop, n_past)`` of the endings ``(kind, key, n_last)`` asked for, in as many passes as they need.
+
+    Where lines go on is counted only for endings at which some line stops, or texts enough: no other can be complete.
+    """
     size = asked.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0
     parts = size // KEYS_SIZE + 1
-    found = None
+    found = []
     for part in range(parts):
-        keys = [(r.kind, r.key) for r in asked.where(F.pmod(F.xxhash64("kind", "key"), F.lit(parts)) == part).collect()]
-        counted = line_endings(documents, keys)
-        found = counted if found is None else found.unionByName(counted)
-    return found
+        rows = asked.where(F.pmod(F.xxhash64("kind", "key"), F.lit(parts)) == part).collect()
+        stopped = _counted(documents, [(r.kind, r.key) for r in rows], "n_stop", _stop_counter)
+        stopped = cut(stopped)
+        hit = {(r.kind, r.key) for r in stopped.collect()}
+        keys = [(r.kind, r.key) for r in rows if (r.kind, r.key) in hit or (r.n_last or 0) - 1 >= LAST_COUNT]
+        found.append(stopped.join(_counted(documents, keys, "n_past", _past_counter), ["kind", "key"], "full"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def last_endings(placed: DataFrame) -> DataFrame:
@@ -249,13 +287,12 @@ def judged(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts are complete. A null source is a source of its own.
     """
-    from ..session import cut
-
-    ended = cut(endings(documents).withColumn("source", F.coalesce("source", F.lit(""))))
-    placed = with_limits(ended, limits(lengths(documents)))
-    asked = placed.where((F.col("ending") == "open") & ~F.col("at_limit"))
+    ended = endings(documents).withColumn("source", F.coalesce("source", F.lit("")))
+    placed = cut(with_limits(ended, limits(lengths(documents))))
+    lasts = last_endings(placed)
+    asked = placed.where((F.col("ending") == "open") & ~F.col("at_limit")).select("kind", "key").distinct().join(lasts, ["kind", "key"])
     known = (
-        placed.join(last_endings(placed), ["kind", "key"], "left")
+        placed.join(lasts, ["kind", "key"], "left")
         .join(stops(documents, asked), ["kind", "key"], "left")
         .join(habits(placed), "source", "left")
     )
