@@ -39,6 +39,7 @@ def queries():
         "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
         "p10_lengths": lambda s, d: truncation.lengths(table(s, d, "documents")),
         "p10_limits": lambda s, d: truncation.limits(truncation.lengths(table(s, d, "documents"))),
+        "p10_at_limits": lambda s, d: truncation.at_limits(table(s, d, "documents")),
         "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
     }
 
@@ -48,6 +49,10 @@ _LEVEL = "CASE WHEN g = 7 THEN 'all' ELSE concat_ws('+', CASE WHEN g & 4 = 0 THE
 
 _LENGTHS = """l AS (SELECT source, 'text' AS "column", measure, length, count(*) AS n FROM (
  SELECT coalesce(source, '') AS source, unnest(['chars', 'bytes']) AS measure, unnest([length(text), strlen(text)]) AS length FROM documents WHERE regexp_matches(text, '\\S')) GROUP BY ALL)"""
+_LIMITS = f"""{_LENGTHS}, w AS (SELECT *, sum(n) OVER (PARTITION BY source, measure) AS total,
+  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND abs(o.length - l.length) BETWEEN 4 AND 40) / 74 AS density,
+  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND o.length > l.length + 3) AS above FROM l),
+ lim AS (SELECT source, "column", measure, length, n FROM w WHERE n >= 5 AND n >= 0.01 * total AND n >= 5 * density AND above <= 0.02 * total)"""
 _CUBE = f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_ip, n_ip, CAST(0 AS BIGINT) AS error_bound FROM (
  SELECT grouping(day, pack_id, class_uid) AS g, day, pack_id, class_uid, count(DISTINCT a) FILTER (s = 1) AS n_src_ip, count(DISTINCT a) FILTER (s = 2) AS n_dst_ip, count(DISTINCT a) AS n_ip
  FROM (SELECT CAST(floor(epoch_seconds / 86400) AS INT) AS day, pack_id, class_uid, src_ip AS a, 1 AS s FROM features WHERE src_ip <> ''
@@ -58,10 +63,11 @@ _CUBE = f"""SELECT {_LEVEL} AS level, day, pack_id, class_uid, n_src_ip, n_dst_i
 def oracle_sql():
     return {
         "p10_lengths": f"WITH {_LENGTHS} SELECT * FROM l",
-        "p10_limits": f"""WITH {_LENGTHS}, w AS (SELECT *, sum(n) OVER (PARTITION BY source, measure) AS total,
-  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND abs(o.length - l.length) BETWEEN 4 AND 40) / 74 AS density,
-  (SELECT coalesce(sum(n), 0) FROM l o WHERE o.source = l.source AND o.measure = l.measure AND o.length > l.length + 3) AS above FROM l)
- SELECT source, "column", measure, length, n FROM w WHERE n >= 5 AND n >= 0.01 * total AND n >= 5 * density AND above <= 0.02 * total""",
+        "p10_limits": f"WITH {_LIMITS} SELECT * FROM lim",
+        "p10_at_limits": f"""WITH {_LIMITS}, t AS (SELECT coalesce(source, '') AS source, length(text) AS c, strlen(text) AS b,
+  regexp_matches(text, '[.!?。！？｡؟।‼⁇⁈⁉][\\p{{Pe}}\\p{{Pf}}"''`*_]*[\\s\\p{{Z}}]*$') AND NOT regexp_matches(text, '(\\.\\.\\.|…)[\\p{{Pe}}\\p{{Pf}}"''`*_]*[\\s\\p{{Z}}]*$') AS ended FROM documents WHERE regexp_matches(text, '\\S')),
+ p AS (SELECT t.*, EXISTS (SELECT 1 FROM lim WHERE lim.source = t.source AND (measure = 'chars' AND lim.length = c OR measure = 'bytes' AND b BETWEEN lim.length - 2 AND lim.length)) AS hit FROM t)
+ SELECT source, count(*) AS n_texts, count(*) FILTER (hit) AS n_at_limit, count(*) FILTER (hit AND NOT ended) AS n_cut_at_limit FROM p GROUP BY 1""",
         "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_distinct": _CUBE,
         "p2_runs": _CUBE,
