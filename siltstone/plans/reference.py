@@ -19,7 +19,7 @@ from ..functions.times import parse_time
 from ..operators import clustering, fused, integrity, normalise, onboarding
 from ..packs import compile as C
 from ..packs.spec import load_library, parse_pack
-from ..session import scratch, table
+from ..session import cut, scratch, table
 from ..sources import lines, sinks
 
 YEAR = 2025
@@ -245,6 +245,20 @@ def feature_rows(spark, d):
     return f.groupBy("src_is_private", "dst_is_private", "hour_of_day", "day_of_week").agg(F.count(F.lit(1)).alias("n"), F.sum("src_port").alias("ports"), F.sum("is_alert").alias("alerts"))
 
 
+def evidence_run(spark, d):
+    """The whole way of every line: into a vault, out of it again, to an event, into a chain, verified, and into a Merkle log."""
+    raw = cut(_connections(spark, d).select(F.expr(_LINE).cast("binary").alias("raw"), F.col("time_ns").alias("received_at"), F.monotonically_increasing_id().alias("seq")))
+    path = f"{scratch(spark, 'vault')}/records"
+    sinks.seal_vault(sinks.append_vault(raw.select("raw", "seq"), path, 0), path)
+    kept = lines.read_vault(spark, path).where("intact").select("raw", "locator", F.col("offset").alias("seq"))
+    events = fused.normalise(kept, packs(), YEAR, columns=("event_uid", "event_json"))
+    chained = events.select(F.concat(F.lit("chain-"), F.pmod(F.xxhash64("locator"), F.lit(64)).cast("string")).alias("chain_uid"), "seq", "event_uid", "event_json")
+    attested = cut(integrity.attest(chained))
+    log = integrity.leaves(integrity.numbered(attested.select("seq", "fingerprint"), "seq"), "idx", "fingerprint")
+    n_leaves, root = log.count(), integrity.merkle_root(log)
+    return integrity.verify_chains(attested).agg(F.sum("n_events").alias("n_events"), F.sum("n_bad").alias("n_bad")).select("*", F.lit(n_leaves).cast("bigint").alias("n_leaves"), F.lit(len(root)).cast("int").alias("root_digits"))
+
+
 # --- scalars ------------------------------------------------------------------------------------------------
 
 
@@ -366,7 +380,7 @@ QUERIES = {
     f.__name__: f for f in (
         kv_decode, kv_quoted, csv_positional, csv_quoted, syslog_bsd, syslog_ietf, cef_decode, leef_decode, json_flatten, xml_flatten, regex_alternatives, generic_pairs, salvage_found,
         mapping, mapping_columns, identify_priority, flows, stats, by_pack, dead_letters, feature_rows, coercions, times, locators, raw_hash, private_flags, templates, vault_offsets,
-        chain_verify, chain_tampered, merkle, merkle_level, clusters, cluster_profiles, fixture_report, recent, event_rows, vault_index,
+        chain_verify, chain_tampered, merkle, merkle_level, clusters, cluster_profiles, fixture_report, recent, event_rows, vault_index, evidence_run,
     )
 }
 
@@ -420,6 +434,7 @@ def oracle_sql():
  FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS before FROM events) WHERE event_id % 70 <> 0 GROUP BY 1, 2""",
         "clusters": """SELECT printf('C%04d', row_number() OVER (ORDER BY min(event_id))) AS cluster_id, CAST(6 + event_id % 3 AS INT) AS n_tokens, min(event_id) AS first_seq,
  '<*> by user <*> no <*>' || repeat(' pad', CAST(event_id % 3 AS INT)) AS template, count(*) AS n, round((3 + event_id % 3) / (6 + event_id % 3), 6) AS specificity FROM events GROUP BY event_id % 3""",
+        "evidence_run": f"SELECT count(*) AS n_events, CAST(0 AS BIGINT) AS n_bad, count(*) AS n_leaves, CAST(64 AS INT) AS root_digits FROM {_FLOW}",
         "event_rows": """SELECT DISTINCT locator, pack, disposition, j->>'$.metadata.uid' AS uid, try_cast(j->>'$.class_uid' AS BIGINT) AS class_uid, try_cast(j->>'$.type_uid' AS BIGINT) AS type_uid,
  try_cast(j->>'$.severity_id' AS BIGINT) AS severity_id, j->>'$.src_endpoint.ip' AS src_ip, try_cast(j->>'$.dst_endpoint.port' AS BIGINT) AS dst_port FROM (SELECT locator, pack, disposition, event_json::JSON AS j FROM recent_events)""",
         "vault_index": "SELECT o_orderkey % 2 AS segment, o_orderkey % 2 = 0 AS sealed, count(*) AS n, CAST(sum(strlen(o_orderpriority)) AS BIGINT) AS bytes FROM orders GROUP BY 1, 2",
