@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, ensure_checkpoint_dir, scratch
+from ..session import cut, scratch
 
 DIMENSIONS = ("day", "pack_id", "class_uid")
 _TYPES = {"day": ("int", pa.int32()), "pack_id": ("string", pa.string()), "class_uid": ("bigint", pa.int64())}
@@ -93,8 +93,7 @@ class Dictionary:
         """The latest version at ``path``."""
         fs, at = _files(spark, path)
         versions = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("version-"))
-        with_text = spark.read.text(f"{path}/{versions[-1]}", wholetext=True).first()[0]
-        got = json.loads(with_text)
+        got = json.loads(spark.read.text(f"{path}/{versions[-1]}", wholetext=True).first()[0])
         return cls(spark, path, got["uid"], tuple(got["parts"]), got["size"])
 
     def _commit(self) -> Dictionary:
