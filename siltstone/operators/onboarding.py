@@ -393,6 +393,17 @@ def drafts(clusters: DataFrame, max_clusters: int = 20, how=draft) -> list[dict]
     return [d | {"records": r.n} for r, d in found if d]
 
 
+def profile_lines(lines: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
+    """The profile of every cluster of lines, by volume."""
+    return profiles(cluster(lines, text, seq)).orderBy(F.desc("n"), "cluster_id")
+
+
+def draft_lines(lines: DataFrame, folder: str, source: str, text: str = "text", seq: str = "seq", max_clusters: int = 20, how=draft) -> str:
+    """Unknown lines to candidate packs in a folder, of the most frequent clusters; returns the manifest's path."""
+    found = drafts(cluster(lines, text, seq), max_clusters, how)
+    return write_drafts(found, folder, source, lines.count())
+
+
 def sidecar(command: list[str], timeout: float = 60.0):
     """``how`` for ``drafts``: a program that reads samples and cluster as JSON and writes a pack as YAML; a pack that fails its checks counts as none."""
     def how(samples: list[str], key: str) -> dict | None:

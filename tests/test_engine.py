@@ -184,6 +184,13 @@ def test_drafts_checks_and_approval(tmp_path):
     assert onboarding.sidecar(program)(SAMPLES, "k")["identity"] == draft["identity"] and onboarding.sidecar(["echo", "a: 1"])(SAMPLES, "k") is None
 
 
+def test_unknown_lines_to_profiles_and_candidates(spark, tmp_path):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)] + [(9, "a b"), (10, None)], "seq long, text string")
+    assert [(r.n, json.loads(r.profile)["wire_format"]) for r in onboarding.profile_lines(df).collect()] == [(5, "syslog-keyvalue"), (1, "unstructured")]
+    manifest = json.loads(open(onboarding.draft_lines(df, str(tmp_path / "out"), "dead letters")).read())
+    assert manifest["records_read"] == 7 and [c["records"] for c in manifest["clusters"]] == [5]
+
+
 def test_coverage_regression_and_values(spark):
     schema = "corpus string, parsed_share double"
     got = onboarding.coverage_regression(spark.createDataFrame([("a", 0.99), ("b", 0.5), ("n", 1.0)], schema), spark.createDataFrame([("a", 0.9901), ("b", 0.6), ("c", 1.0)], schema))
